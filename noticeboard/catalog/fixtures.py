@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noticeboard.fixed_values import ACTION_TYPES, EVENT_CATEGORIES, NOTICE_TYPES
-from noticeboard.functions.text import tokens
+from noticeboard.functions.text import tokens, words
+from noticeboard.session import spread
 
 TYPE_CODES = [row[0] for row in NOTICE_TYPES]
 
@@ -32,7 +33,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as annotated notices."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     n = F.col("doc_id")
-    rows = d.join(l, "doc_id", "left").select(
+    rows = spread(d.select("doc_id", "text", "lang", "source")).join(l, "doc_id", "left").select(
         n.cast("string").alias("id"), n, F.col("lang").alias("code"), F.col("source").alias("type"),
         F.when(n % 50 != 0, F.date_add(F.lit("2000-01-01").cast("date"), (n % 9000).cast("int")))
         .alias("date"),
@@ -122,7 +123,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a run's steps stand for the notices it read."""
-    from noticeboard.functions.text import words
     return runs(spark, sf_dir).select("run_id", "step", F.explode(words(F.col("text"))).alias("id"))
 
 

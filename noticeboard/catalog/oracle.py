@@ -307,7 +307,7 @@ ORACLE: dict[str, str] = {
            nullif(coalesce(f_category, category), '') AS event_category,
            nullif(coalesce(f_action, action), '') AS action_taken,
            array_to_string(keywords, '|') AS keywords,
-           coalesce(array_to_string(list_filter(list_transform(keywords, k ->
+           coalesce(array_to_string(list_filter(list_transform(keywords, lambda k:
                array_to_string(regexp_extract_all(lower(replace(k, '"', ' ')), {WORDS}), ' ')),
                lambda p: p <> ''), '|'), '') AS phrases FROM parsed""",
 

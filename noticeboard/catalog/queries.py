@@ -18,7 +18,7 @@ from noticeboard.plans import search as Q
 from noticeboard.plans.dossier import dossier
 from noticeboard.plans.update import Paths, update
 from noticeboard.schema import FILTER_COLUMNS, NOTICES
-from noticeboard.session import work_dir
+from noticeboard.session import settled, work_dir
 from noticeboard.sources import notices as V, pages as G, sinks as K
 from noticeboard.sources.types import notice_types, with_labels
 from noticeboard.streaming import ingest as I, limits as M
@@ -320,8 +320,8 @@ def phrase_matches(spark, sf):
     """All phrases of the request table against all documents, with occurrence counts."""
     phrases = X.requests(spark, sf).select("query_id", T.words(F.col("q")).alias("words"))
     hits = match_phrases(X.docs(spark, sf).select("id", "tokens"), phrases)
-    return hits.select("query_id", "id", T.phrase_count(F.col("spaced_text"), F.col("phrase"))
-                       .cast("long").alias("occurrences"))
+    return hits.select("query_id", "id", T.phrase_count(
+        F.col("spaced_text"), F.col("phrase"), F.col("overlaps")).cast("long").alias("occurrences"))
 
 
 @query
@@ -339,7 +339,7 @@ def keyword_search(spark, sf):
 def _doc_vectors(spark, sf):
     rows = X.docs(spark, sf)
     vectors = N.embed_texts(rows.select("id", "fulltext"), "fulltext", "embedding")
-    return rows.join(vectors, "id")
+    return rows.join(settled(vectors, "vectors"), "id")
 
 
 @query
@@ -364,10 +364,10 @@ def vector_search(spark, sf):
                         "date": F.lit(None).cast("date"), "action_taken": F.lit(None).cast("string"),
                         "code": F.lit(None).cast("string"),
                         "significance_score": F.lit(None).cast("int")})
-    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"),
+    asked = v.select(F.col("vec_id").cast("string").alias("request_key"), F.col("embedding").alias("vector"),
                      F.lit(10).alias("k"), *[c.alias(f"want_{n}") for n, c in nothing.items()])
-    best = topn.first_n(nearest(rows, asked), ["query_id"], topn.best_first(), 10)
-    return best.select("query_id", "id", F.round("score", 6).alias("score"),
+    best = topn.first_n(nearest(rows, asked), ["request_key"], topn.best_first(), 10)
+    return best.select(F.col("request_key").cast("long").alias("query_id"), "id", F.round("score", 6).alias("score"),
                        F.col("rank").cast("long").alias("rank"))
 
 
@@ -386,7 +386,7 @@ def _longest_word(q):
 def _sentences(spark, sf):
     asked = X.requests(spark, sf).filter(T.is_sentence(F.col("q"))) \
         .withColumn("keywords", F.array(_longest_word(F.col("q"))))
-    return Q._vectors_for(asked, "q", None)
+    return Q.with_query_vectors(asked, "q", None)
 
 
 def longest_word_parser(text: str) -> str:

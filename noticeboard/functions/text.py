@@ -39,9 +39,23 @@ def any_phrase(token_list: Column, phrase_lists: Column) -> Column:
     return F.coalesce(F.exists(phrase_lists, lambda p: has_phrase(text, p)), F.lit(False))
 
 
-def phrase_count(spaced_text: Column, spaced_phrase: Column) -> Column:
-    """Occurrences of a phrase, overlapping ones included (a look-ahead consumes nothing)."""
-    return F.regexp_count(spaced_text, F.concat(F.lit("(?="), spaced_phrase, F.lit(")")))
+def overlaps_itself(phrase_words: Column) -> Column:
+    """Whether an occurrence of the phrase may start inside another one: some proper prefix of its
+    words is also a suffix ('a b a')."""
+    n = F.size(phrase_words)
+    lengths = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))))
+    return F.coalesce(F.exists(lengths, lambda i: F.slice(phrase_words, F.lit(1), i)
+                               == F.slice(phrase_words, n - i + 1, i)), F.lit(False))
+
+
+def phrase_count(spaced_text: Column, spaced_phrase: Column, overlaps: Column) -> Column:
+    """Occurrences of a phrase, overlapping ones included. Plain removal counts phrases that cannot
+    overlap themselves; the others need a look-ahead, which consumes nothing."""
+    removed = F.replace(spaced_text, spaced_phrase, F.lit(""))
+    plain = ((F.octet_length(spaced_text) - F.octet_length(removed))
+             / F.octet_length(spaced_phrase)).cast("int")
+    ahead = F.regexp_count(spaced_text, F.concat(F.lit("(?="), spaced_phrase, F.lit(")")))
+    return F.when(overlaps, ahead).otherwise(plain)
 
 
 def phrases(keywords: Column) -> Column:

@@ -15,6 +15,7 @@ from noticeboard.fixed_values import EMBED_ATTEMPTS, EMBED_BATCH
 from noticeboard.functions.annotations import annotator_input, parse_annotation, shape_parsed
 from noticeboard.operators.filters import pending_annotation, pending_embedding
 from noticeboard.schema import ANNOTATION_COLUMNS
+from noticeboard.session import settled, spread
 
 TextFunction = Callable[[str], str]
 EmbedFunction = Callable[[list[str]], np.ndarray]
@@ -60,7 +61,7 @@ def annotate(notices: DataFrame, fn: Callable[[str | None, str | None, str], str
             yield pd.DataFrame({"id": frame["id"], "raw": [
                 ask(*row) for row in zip(frame["code"], frame["title"], frame["prompt"])]})
 
-    raw = pending.mapInPandas(answers, "id string, raw string")
+    raw = spread(pending).mapInPandas(answers, "id string, raw string")
     parsed = raw.select("id", parse_annotation(F.col("raw")).alias("a")).filter("a is not null")
     return parsed.select("id", *[F.col(f"a.{c}").alias(c) for c in ANNOTATION_COLUMNS
                                  if c != "enriched_at"], F.current_timestamp().alias("enriched_at"))
@@ -116,7 +117,7 @@ def embed_texts(df: DataFrame, text: str, out: str, fn: EmbedFunction | None = N
                 yield pd.DataFrame({key: part[key].to_numpy(), out: list(vectors)})
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"`{key}` {key_type}, `{out}` array<float>")
+    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {key_type}, `{out}` array<float>")
 
 
 def embed(notices: DataFrame, fn: EmbedFunction | None = None, **options) -> DataFrame:
@@ -140,6 +141,6 @@ def parse_queries(queries: DataFrame, fn: TextFunction | None = None) -> DataFra
         for frame in frames:
             yield pd.DataFrame({"q": frame["q"], "raw": [ask(t) for t in frame["q"]]})
 
-    raw = queries.select("q").distinct().mapInPandas(run, "q string, raw string")
+    raw = settled(queries.select("q").distinct().mapInPandas(run, "q string, raw string"), "parses")
     return (queries.join(raw, "q", "left")
             .withColumn("parsed", shape_parsed(F.col("raw"), F.col("q"))).drop("raw"))

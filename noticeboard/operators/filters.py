@@ -60,7 +60,7 @@ def request_filter(prefix: str = "want_") -> Column:
 def name_like(title: Column, name: Column) -> Column:
     """Case-insensitive substring in which % and _ of the name stay wildcards. A backslash before
     any other character stands for that character."""
-    pattern = F.concat(F.lit("%"), F.regexp_replace(name, r"\\([^%_\\])", "$1"), F.lit("%"))
+    pattern = F.concat(F.lit("%"), F.regexp_replace(name, r"(\\[%_\\])|\\(?=[^%_\\])", "$1"), F.lit("%"))
     return F.ilike(title, pattern)
 
 

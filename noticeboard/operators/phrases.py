@@ -1,10 +1,11 @@
 """Phrase table x corpus: which notices hold which phrases."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from noticeboard.functions.text import spaced
+from noticeboard.functions.text import overlaps_itself, spaced
 from noticeboard.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, is_small
+from noticeboard.session import settled
 
 
 def _word_pairs(token_list):
@@ -15,12 +16,12 @@ def _word_pairs(token_list):
 
 
 def anchored(phrases: DataFrame, words_col: str = "words") -> DataFrame:
-    """Adds `phrase` (spaced text) and `anchor`: the adjacent word pair - or the word of a one-word
+    """Adds `phrase` (spaced text), `overlaps` and `anchor`: the adjacent word pair - or the word of a one-word
     phrase - that the fewest phrases of the table share, so one corpus word pair leads to few
     phrases. Phrases without words match nothing and drop out."""
     usable = (phrases.filter(F.size(words_col) > 0)
               .withColumn("phrase", spaced(F.col(words_col)))
-              .withColumn("n_words", F.size(words_col)))
+              .withColumn("overlaps", overlaps_itself(F.col(words_col))))
     pieces = (usable.select("phrase", words_col).distinct()
               .select("phrase", F.explode(F.array_distinct(
                   F.when(F.size(words_col) == 1, F.col(words_col))
@@ -35,14 +36,14 @@ def anchored(phrases: DataFrame, words_col: str = "words") -> DataFrame:
 def match_phrases(notices: DataFrame, phrases: DataFrame, words_col: str = "words",
                   max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every (notice, phrase row) pair in which the phrase occurs, all columns of both sides, plus
-    `spaced_text` of the notice and `phrase`.
+    `spaced_text` of the notice and the columns of `anchored`.
 
     Each notice emits its distinct words and word pairs; they meet the phrase anchors in an equi
     join and the whole phrase is then checked in the row. A phrase table within the checked bounds
     is broadcast, so the corpus is read once and never shuffled. Beyond them the words meet the
     anchors in a shuffled join of narrow rows, and only candidate pairs go back to the texts.
     """
-    table = anchored(phrases, words_col)
+    table = settled(anchored(phrases, words_col), "phrases")
     small = is_small(table, 3 * F.length("phrase") + 8 * F.size(words_col) + F.lit(200),
                      max_rows, max_bytes)
     texts = notices.withColumn("spaced_text", spaced(F.col("tokens")))

@@ -8,20 +8,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from noticeboard.functions.scoring import COSINE_DIGITS
 from noticeboard.operators.sizing import is_small
 from noticeboard.schema import FILTER_COLUMNS
+from noticeboard.session import spread
 
 QUERY_BLOCK_ROWS = 4096
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 NOTICE_GROUP_ROWS = 20_000
 NOTICE_SLICE_ROWS = 4096
 
-SCORED = "query_id bigint, id string, date date, score double"
+SCORED = "request_key string, k int, id string, date date, score double"
+_SCORED_ARROW = pa.schema([("request_key", pa.string()), ("k", pa.int32()), ("id", pa.string()),
+                           ("date", pa.date32()), ("score", pa.float64())])
 _NO_DATE = np.iinfo(np.int64).max      # undated notices come before the newest
 
 
@@ -48,7 +50,7 @@ class QueryBlock:
     """Query vectors with their filters and limits, as arrays."""
 
     def __init__(self, table: pa.Table):
-        self.ids = table["query_id"].to_pylist()
+        self.ids = table["request_key"].to_pylist()
         self.k = np.array(table["k"].to_pylist(), dtype=np.int64)
         self.unit, self.zero = _unit_rows(table["vector"])
         filters = zip(*(table[f"want_{c}"].to_pylist() for c in FILTER_COLUMNS))
@@ -122,21 +124,17 @@ class BestRows:
             self.floor[i] = bound
         self.rows[i] = (score, days, ids)
 
-    def frames(self) -> Iterator[pd.DataFrame]:
-        for query_id, rows in zip(self.queries.ids, self.rows):
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for key, k, rows in zip(self.queries.ids, self.queries.k, self.rows):
             if rows is None:
                 continue
             score, days, ids = rows
-            day = pd.to_datetime(pd.Series(np.where(days == _NO_DATE, 0, days)), unit="D").dt.date
-            day[pd.Series(days == _NO_DATE)] = None
-            yield pd.DataFrame({"query_id": query_id, "id": ids, "date": day,
-                                "score": np.where(score < -1.5, np.nan, score)})
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.string()),
-                            ("date", pa.date32()), ("score", pa.float64())])
-        for frame in self.frames():
-            yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+            undated = days == _NO_DATE
+            day = pa.array(np.where(undated, 0, days).astype(np.int32), mask=undated).cast(pa.date32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(ids)), pa.array(np.full(len(ids), k, dtype=np.int32)),
+                 pa.array(ids.tolist(), pa.string()), day, pa.array(score, mask=score < -1.5)],
+                schema=_SCORED_ARROW)
 
 
 def _nearest_broadcast(notices: DataFrame, queries: DataFrame) -> DataFrame:
@@ -161,19 +159,17 @@ def _nearest_blocked(notices: DataFrame, queries: DataFrame, query_rows: int,
     left = (notices.withColumn("notice_block", F.pmod(F.xxhash64("id"), F.lit(n_notice_blocks)))
             .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))
                                                  .cast("array<bigint>"))))
-    right = (queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)))
+    right = (queries.withColumn("query_block", F.pmod(F.xxhash64("request_key"), F.lit(n_query_blocks)))
              .withColumn("notice_block", F.explode(F.sequence(F.lit(0), F.lit(n_notice_blocks - 1))
                                                    .cast("array<bigint>"))))
 
     def score(notice_rows: pa.Table, query_rows_: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.string()),
-                            ("date", pa.date32()), ("score", pa.float64())])
         if not notice_rows.num_rows or not query_rows_.num_rows:
-            return schema.empty_table()
+            return _SCORED_ARROW.empty_table()
         best = BestRows(QueryBlock(query_rows_))
         for start in range(0, notice_rows.num_rows, NOTICE_SLICE_ROWS):
             best.add(notice_rows.slice(start, NOTICE_SLICE_ROWS))
-        return pa.Table.from_batches(list(best.batches()), schema=schema)
+        return pa.Table.from_batches(list(best.batches()), schema=_SCORED_ARROW)
 
     keys = ("notice_block", "query_block")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCORED)
@@ -181,18 +177,19 @@ def _nearest_blocked(notices: DataFrame, queries: DataFrame, query_rows: int,
 
 def nearest(notices: DataFrame, queries: DataFrame, max_queries: int = QUERY_BLOCK_ROWS,
             max_bytes: int = QUERY_BLOCK_BYTES, group_rows: int = NOTICE_GROUP_ROWS) -> DataFrame:
-    """Candidate rows (query_id, id, date, score): every query's best k of each slice of the
+    """Candidate rows (request_key, k, id, date, score): every query's best k of each slice of the
     notices, by cosine, among the rows its filters admit. The best k overall are among them.
 
     notices: id, date, embedding, event_category, action_taken, code, significance_score.
-    queries: query_id, vector, k and the six `want_` filter columns.
+    queries: request_key, vector, k and the six `want_` filter columns.
     """
     notices = notices.filter(F.col("embedding").isNotNull()).select(
         F.col("id").cast("string").alias("id"), "date", "embedding", "event_category",
         "action_taken", "code", "significance_score")
     queries = queries.filter(F.col("vector").isNotNull()).select(
-        F.col("query_id").cast("bigint").alias("query_id"), "vector", F.col("k").cast("int").alias("k"),
+        F.col("request_key").cast("string").alias("request_key"), "vector", F.col("k").cast("int").alias("k"),
         *[f"want_{c}" for c in FILTER_COLUMNS])
+    notices = spread(notices)
     if is_small(queries, 4 * F.size("vector"), max_queries, max_bytes):
         return _nearest_broadcast(notices, queries)
     return _nearest_blocked(notices, queries, max_queries, group_rows)

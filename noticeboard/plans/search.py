@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from noticeboard.fixed_values import (COMPACT_SEARCH_LIMIT, DEFAULT_LIMIT, KEYWORD_BONUS, MAX_LIMIT)
 from noticeboard.functions.annotations import merge_filter
 from noticeboard.functions.scoring import (cosine, length_penalty, phrase_rank, significance_boost)
-from noticeboard.functions.text import (has_phrase, is_sentence, phrase_count, phrases, spaced,
-                                        words)
+from noticeboard.functions.text import (has_phrase, is_sentence, overlaps_itself, phrase_count,
+                                        phrases, spaced, words)
 from noticeboard.operators.annotate import embed_texts, parse_queries
 from noticeboard.operators.filters import Filters, has_vector, request_filter
 from noticeboard.operators.phrases import match_phrases
@@ -16,6 +16,7 @@ from noticeboard.operators.topn import (best_first, capped, first_n, rank_then_n
                                         rank_then_newest_per)
 from noticeboard.operators.vectors import QUERY_BLOCK_BYTES, QUERY_BLOCK_ROWS, nearest
 from noticeboard.schema import FILTER_COLUMNS, FULL_COLUMNS
+from noticeboard.session import settled
 
 # What ranking reads; wide columns join the k winners afterwards.
 RANK_COLUMNS = ["id", "date", "event_category", "action_taken", "code", "significance_score",
@@ -23,14 +24,17 @@ RANK_COLUMNS = ["id", "date", "event_category", "action_taken", "code", "signifi
 
 
 def rankable(notices: DataFrame) -> DataFrame:
-    return (notices.withColumn("n_tokens", F.size("tokens"))
-            .withColumn("n_chars", F.length("fulltext")).select(*RANK_COLUMNS))
+    """The ranking columns; a table that stores n_tokens and n_chars spares the scan the texts."""
+    sizes = {"n_tokens": F.size("tokens"), "n_chars": F.length("fulltext")}
+    return notices.withColumns({name: value for name, value in sizes.items()
+                                if name not in notices.columns}).select(*RANK_COLUMNS)
 
 
-def keyword_score(occurrences: Column) -> Column:
-    return (phrase_rank(occurrences, F.col("n_tokens"))
-            + significance_boost(F.col("significance_score"))
-            - length_penalty(F.col("n_chars")))
+def with_keyword_score(hits: DataFrame, occurrences: Column) -> DataFrame:
+    """The count is a column of its own, so that it is taken once per hit."""
+    return hits.withColumn("occurrences", occurrences).withColumn(
+        "score", phrase_rank(F.col("occurrences"), F.col("n_tokens"))
+        + significance_boost(F.col("significance_score")) - length_penalty(F.col("n_chars")))
 
 
 def search_phrase(notices: DataFrame, query: str, filters: Filters = Filters(),
@@ -38,9 +42,9 @@ def search_phrase(notices: DataFrame, query: str, filters: Filters = Filters(),
     """One phrase query; its filters are literals and reach the scan."""
     phrase_words = words(F.lit(query))
     text = spaced(F.col("tokens"))
-    hits = (rankable(notices.filter(filters.column()))
-            .filter(has_phrase(text, phrase_words))
-            .withColumn("score", keyword_score(phrase_count(text, spaced(phrase_words)))))
+    hits = with_keyword_score(
+        rankable(notices.filter(filters.column())).filter(has_phrase(text, phrase_words)),
+        phrase_count(text, spaced(phrase_words), overlaps_itself(phrase_words)))
     winners = rank_then_newest(hits.select("id", "date", "score"), min(max(limit, 1), MAX_LIMIT))
     return winners
 
@@ -54,7 +58,7 @@ def prepared(requests: DataFrame) -> DataFrame:
                            capped(F.col("limit"), 1, MAX_LIMIT, DEFAULT_LIMIT).alias("k"), *wanted)
 
 
-def _request_key(df: DataFrame, *what: str) -> Column:
+def _request_key(*what: str) -> Column:
     shape = F.struct(*what, "k", *[f"want_{c}" for c in FILTER_COLUMNS])
     return F.sha2(F.to_json(shape, {"ignoreNullFields": "false"}), 256)
 
@@ -65,11 +69,12 @@ def keyword_search(notices: DataFrame, requests: DataFrame) -> DataFrame:
     Requests that ask the same are answered once and the answer, at most MAX_LIMIT rows, is handed
     to each of them."""
     asked = prepared(requests).withColumn("words", words(F.col("q")))
-    asked = asked.withColumn("request_key", _request_key(asked, "words"))
-    distinct = asked.drop("query_id", "q").dropDuplicates(["request_key"])
-    hits = (match_phrases(rankable(notices), distinct).filter(request_filter())
-            .withColumn("score", keyword_score(phrase_count(F.col("spaced_text"), F.col("phrase"))))
-            .select("request_key", "k", "id", "date", "score"))
+    asked = settled(asked.withColumn("request_key", _request_key("words")).drop("q"), "requests")
+    distinct = asked.drop("query_id").dropDuplicates(["request_key"])
+    hits = with_keyword_score(
+        match_phrases(rankable(notices), distinct).filter(request_filter()),
+        phrase_count(F.col("spaced_text"), F.col("phrase"), F.col("overlaps"))) \
+        .select("request_key", "k", "id", "date", "score")
     best = rank_then_newest_per(hits, ["request_key"], MAX_LIMIT, F.col("k"))
     return (best.join(asked.select("query_id", "request_key"), "request_key")
             .select("query_id", "id", "date", "score", "rank", "position"))
@@ -84,8 +89,7 @@ def _keyword_hits(notices: DataFrame, asked: DataFrame) -> DataFrame:
              .withColumn("_earlier", F.slice("_all", F.lit(1), F.col("_at"))).drop("_all", "_at"))
     # A notice with several of the keywords counts at the first one only.
     first_hit = ~F.exists("_earlier", lambda p: F.contains(F.col("spaced_text"), p))
-    vector_bytes = QUERY_BLOCK_BYTES // 4
-    small = is_small(asked.select("vector"), 4 * F.size("vector"), QUERY_BLOCK_ROWS, vector_bytes)
+    small = is_small(asked, 4 * F.size("vector"), QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES)
     found = match_phrases(notices, table if small else table.drop("vector")) \
         .filter(request_filter() & first_hit)
     if not small:
@@ -94,7 +98,7 @@ def _keyword_hits(notices: DataFrame, asked: DataFrame) -> DataFrame:
               .select("request_key", "k", "id", "date", "score"))
     return (first_n(scored, ["request_key"], best_first(), MAX_LIMIT)
             .filter(F.col("rank") <= F.col("k"))
-            .select("request_key", "id", "date", (F.col("score") + F.lit(KEYWORD_BONUS)).alias("score")))
+            .withColumn("score", F.col("score") + F.lit(KEYWORD_BONUS)).drop("rank"))
 
 
 def semantic_search(notices: DataFrame, requests: DataFrame) -> DataFrame:
@@ -106,32 +110,26 @@ def semantic_search(notices: DataFrame, requests: DataFrame) -> DataFrame:
     if "keywords" not in requests.columns:
         requests = requests.withColumn("keywords", F.array().cast("array<string>"))
     asked = prepared(requests).filter(F.col("vector").isNotNull())
-    asked = asked.withColumn("request_key", _request_key(asked, "vector", "keywords"))
-    distinct = (asked.groupBy("request_key").agg(
-        F.min("query_id").alias("query_id"),
-        *[F.first(c).alias(c) for c in ("vector", "keywords", "k",
-                                        *[f"want_{c}" for c in FILTER_COLUMNS])]))
-    candidates = nearest(notices, distinct).join(
-        distinct.select("query_id", "request_key", "k"), "query_id")
-    by_cosine = (first_n(candidates, ["request_key"], best_first(), MAX_LIMIT)
-                 .filter(F.col("rank") <= F.col("k")).select("request_key", "id", "date", "score"))
+    asked = asked.withColumn("request_key", _request_key("vector", "keywords"))
+    asked = settled(asked.select("query_id", "request_key", "vector", "keywords", "k",
+                                 *[f"want_{c}" for c in FILTER_COLUMNS]), "requests")
+    distinct = asked.drop("query_id").dropDuplicates(["request_key"])
     with_vectors = has_vector(notices).select(
         "id", "date", "event_category", "action_taken", "code", "significance_score", "tokens",
         "embedding")
-    by_keyword = _keyword_hits(with_vectors, distinct)
-    lifted = (by_cosine.unionByName(by_keyword).groupBy("request_key", "id")
-              .agg(F.max("score").alias("score"), F.first("date").alias("date"))
-              .join(distinct.select("request_key", "k"), "request_key"))
-    best = rank_then_newest_per(lifted, ["request_key"], MAX_LIMIT, F.col("k"))
+    candidates = (nearest(notices, distinct).unionByName(_keyword_hits(with_vectors, distinct))
+                  .groupBy("request_key", "k", "id")
+                  .agg(F.max("score").alias("score"), F.max("date").alias("date")))
+    best = rank_then_newest_per(candidates, ["request_key"], MAX_LIMIT, F.col("k"))
     return (best.join(asked.select("query_id", "request_key"), "request_key")
             .select("query_id", "id", "date", "score", "rank", "position"))
 
 
-def _vectors_for(queries: DataFrame, text: str, embedder) -> DataFrame:
+def with_query_vectors(queries: DataFrame, text: str, embedder) -> DataFrame:
     """Adds `vector`; each distinct text is embedded once."""
     texts = queries.select(F.col(text).alias("_text")).distinct().withColumn("_copy", F.col("_text"))
     vectors = embed_texts(texts, "_copy", "vector", embedder).withColumnRenamed("_text", text)
-    return queries.join(vectors, text)
+    return queries.join(settled(vectors, "query-vectors"), text)
 
 
 def search(notices: DataFrame, requests: DataFrame, parser=None, embedder=None) -> DataFrame:
@@ -145,7 +143,7 @@ def search(notices: DataFrame, requests: DataFrame, parser=None, embedder=None)
                   F.col("action_taken"), F.col("parsed.action_taken")))
               .withColumn("keywords", F.col("parsed.keywords"))
               .withColumn("semantic_query", F.col("parsed.semantic_query")).drop("parsed"))
-    semantic = semantic_search(notices, _vectors_for(merged, "semantic_query", embedder))
+    semantic = semantic_search(notices, with_query_vectors(merged, "semantic_query", embedder))
     return (keyword_search(notices, keyword).withColumn("route", F.lit("keyword"))
             .unionByName(semantic.withColumn("route", F.lit("semantic"))))
 
@@ -166,7 +164,7 @@ def scan(notices: DataFrame, requests: DataFrame, embedder=None) -> DataFrame:
     asked = requests.withColumn("limit", F.lit(COMPACT_SEARCH_LIMIT))
     keyword = keyword_search(notices, asked.filter(~is_sentence(F.col("q"))))
     sentences = asked.filter(is_sentence(F.col("q")))
-    semantic = semantic_search(notices, _vectors_for(sentences, "q", embedder))
+    semantic = semantic_search(notices, with_query_vectors(sentences, "q", embedder))
     return with_compact(keyword.unionByName(semantic), notices)
 
 

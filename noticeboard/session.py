@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "noticeboard", master: str | None = None,
@@ -31,3 +31,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="noticeboard-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """The rows written once to the shared folder and read back: for query tables that several
+    branches use, and for results of outside functions that must not be asked twice. The files
+    outlive any executor and give the optimizer exact sizes."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores when the input has fewer splits than the session has cores. A
+    large input has more splits and stays as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
