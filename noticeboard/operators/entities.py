@@ -115,21 +115,38 @@ def party_postings(notices: DataFrame) -> DataFrame:
     return notices.select(F.explode(parties).alias("party"), "id", "date")
 
 
+_LAST_DAY = 2932896      # 9999-12-31 as days since 1970
+_DAY_DIGITS = 7
+
+
+def _newest_key() -> Column:
+    """Text that sorts as newest_first() does: days left until the last day, then the id."""
+    left = F.lit(_LAST_DAY + 1) - F.unix_date("date")
+    return F.concat(F.lpad(F.coalesce(left, F.lit(0)).cast("string"), _DAY_DIGITS, "0"), F.col("id"))
+
+
+def _id_of(key: Column) -> Column:
+    return F.substr(key, F.lit(_DAY_DIGITS + 1))
+
+
 def related(notices: DataFrame, seeds: DataFrame, k: int = RELATED_LIMIT) -> DataFrame:
     """Other notices naming any party of each seed notice, once each, newest first, k per seed.
 
     Of one party only its newest k+1 notices can reach any seed's list (one of them may be the seed
     itself), so postings are cut to that before they meet the seeds. A party named in a third of
-    all notices costs k+1 rows per seed, not all its notices.
+    all notices costs k+1 keys per seed, not all its notices, and a seed's lists merge in its row.
 
     seeds: id. Result: seed_id, rank and the compact columns.
     """
     postings = party_postings(notices)
-    newest = first_n(postings, ["party"], newest_first(), k + 1).drop("rank")
+    newest = (first_n(postings, ["party"], newest_first(), k + 1)
+              .groupBy("party").agg(F.collect_list(_newest_key()).alias("newest")))   # k + 1 at most
     seed_parties = (party_postings(notices.join(seeds.select("id").distinct(), "id", "left_semi"))
                     .select("party", F.col("id").alias("seed_id")))
-    met = (seed_parties.join(newest, "party").filter(F.col("id") != F.col("seed_id"))
-           .select("seed_id", "id", "date").distinct())
-    best = first_n(met, ["seed_id"], newest_first(), k).drop("date")
+    met = (seed_parties.join(newest, "party").groupBy("seed_id")
+           .agg(F.array_distinct(F.flatten(F.collect_list("newest"))).alias("met")))
+    others = F.filter("met", lambda key: _id_of(key) != F.col("seed_id"))
+    best = met.select("seed_id", F.posexplode(F.slice(F.sort_array(others), 1, k)).alias("pos", "key"))
+    best = best.select("seed_id", (F.col("pos") + 1).alias("rank"), _id_of(F.col("key")).alias("id"))
     rows = notices.select("id", "date", "headline", "event_category", "significance_score")
     return compact(best.join(rows, "id"), extra=("seed_id", "rank"))

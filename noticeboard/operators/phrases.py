@@ -22,10 +22,9 @@ def anchored(phrases: DataFrame, words_col: str = "words") -> DataFrame:
     usable = (phrases.filter(F.size(words_col) > 0)
               .withColumn("phrase", spaced(F.col(words_col)))
               .withColumn("overlaps", overlaps_itself(F.col(words_col))))
-    pieces = (usable.select("phrase", words_col).distinct()
-              .select("phrase", F.explode(F.array_distinct(
-                  F.when(F.size(words_col) == 1, F.col(words_col))
-                  .otherwise(_word_pairs(F.col(words_col))))).alias("piece")))
+    pieces = usable.select("phrase", F.explode(F.array_distinct(
+        F.when(F.size(words_col) == 1, F.col(words_col))
+        .otherwise(_word_pairs(F.col(words_col))))).alias("piece"))
     shared = pieces.groupBy("piece").agg(F.count("*").alias("n_sharing"))
     anchors = (pieces.join(shared, "piece").groupBy("phrase")
                .agg(F.min(F.struct("n_sharing", -F.length("piece"), "piece")).alias("pick"))
@@ -36,14 +35,15 @@ def anchored(phrases: DataFrame, words_col: str = "words") -> DataFrame:
 def match_phrases(notices: DataFrame, phrases: DataFrame, words_col: str = "words",
                   max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every (notice, phrase row) pair in which the phrase occurs, all columns of both sides, plus
-    `spaced_text` of the notice and the columns of `anchored`.
+    `spaced_text` of the notice and the columns of `anchored`, which is applied where the caller has
+    not done so.
 
     Each notice emits its distinct words and word pairs; they meet the phrase anchors in an equi
     join and the whole phrase is then checked in the row. A phrase table within the checked bounds
     is broadcast, so the corpus is read once and never shuffled. Beyond them the words meet the
     anchors in a shuffled join of narrow rows, and only candidate pairs go back to the texts.
     """
-    table = settled(anchored(phrases, words_col), "phrases")
+    table = phrases if "anchor" in phrases.columns else settled(anchored(phrases, words_col), "phrases")
     small = is_small(table, 3 * F.length("phrase") + 8 * F.size(words_col) + F.lit(200),
                      max_rows, max_bytes)
     texts = notices.withColumn("spaced_text", spaced(F.col("tokens")))

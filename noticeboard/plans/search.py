@@ -10,7 +10,7 @@ from noticeboard.functions.text import (has_phrase, is_sentence, overlaps_itself
                                         phrases, spaced, words)
 from noticeboard.operators.annotate import embed_texts, parse_queries
 from noticeboard.operators.filters import Filters, has_vector, request_filter
-from noticeboard.operators.phrases import match_phrases
+from noticeboard.operators.phrases import anchored, match_phrases
 from noticeboard.operators.sizing import is_small
 from noticeboard.operators.topn import (best_first, capped, first_n, rank_then_newest,
                                         rank_then_newest_per)
@@ -69,7 +69,8 @@ def keyword_search(notices: DataFrame, requests: DataFrame) -> DataFrame:
     Requests that ask the same are answered once and the answer, at most MAX_LIMIT rows, is handed
     to each of them."""
     asked = prepared(requests).withColumn("words", words(F.col("q")))
-    asked = settled(asked.withColumn("request_key", _request_key("words")).drop("q"), "requests")
+    asked = settled(anchored(asked.withColumn("request_key", _request_key("words")).drop("q")),
+                    "requests")
     distinct = asked.drop("query_id").dropDuplicates(["request_key"])
     hits = with_keyword_score(
         match_phrases(rankable(notices), distinct).filter(request_filter()),

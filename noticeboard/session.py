@@ -42,8 +42,14 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Below this much input per core a scan may have fewer splits than the session has cores.
+SPREAD_BYTES_PER_CORE = 8 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores when the input has fewer splits than the session has cores. A
-    large input has more splits and stays as it is, unshuffled."""
+    """Rows dealt over all cores where the input is so small that its splits would leave cores idle
+    (judged by the optimizer's size estimate; nothing runs). A large input has splits enough and
+    stays as it is, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df

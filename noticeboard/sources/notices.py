@@ -1,20 +1,23 @@
 """The notices table on shared storage: a base snapshot plus committed deltas.
 
-    <root>/base/batch=<n>     full table after batch n
-    <root>/delta/batch=<n>    full rows of the ids that batch n touched
+    <root>/base/batch=<n>/year=<y>     full table after batch n
+    <root>/delta/batch=<n>/year=<y>    full rows of the ids that batch n touched
 
-A batch writes only the rows it touches and is replaced as a whole when it is replayed, so a lost
-executor or a repeated batch changes nothing. Readers overlay deltas on the newest base; compact()
-folds them in. A folder counts once its _SUCCESS marker is there.
+A batch reads only the years its ids belong to and writes only the rows it touches; it is replaced
+as a whole when it is replayed, so a lost executor or a repeated batch changes nothing. Readers
+overlay deltas on the newest base; compact() folds them in. A folder counts once its _SUCCESS marker
+is there.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from noticeboard.functions.text import tokens
+from noticeboard.operators.sizing import is_small
 from noticeboard.operators.topn import first_n
-from noticeboard.operators.upsert import (apply_annotations, apply_vectors, latest_per_id, upsert)
+from noticeboard.operators.upsert import apply_annotations, apply_vectors, upsert
 from noticeboard.schema import FULL_COLUMNS, NOTICES
 
 
@@ -42,7 +45,16 @@ def append_notices(df: DataFrame, path: str) -> None:
      .partitionBy("year").parquet(path))
 
 
+MAX_YEARS = 1000      # distinct id years worth naming in a partition filter
+
+
+def _year_of(id_: Column) -> Column:
+    return F.substring(id_, 1, 4)
+
+
 class NoticeTable:
+    """Read and change the table; see the module text for the layout."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -68,33 +80,50 @@ class NoticeTable:
     def last_batch(self) -> int:
         return max([-1, *self._batches("base"), *self._batches("delta")])
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The table as of the newest batch, or as of the batches before a number."""
+    def read(self, before: int | None = None, years: list[str] | None = None) -> DataFrame:
+        """The table as of the newest batch, or as of the batches before a number; only the given
+        years' folders where years are given."""
         base_id, delta_ids = self._parts(before)
-        read = lambda kind, ids: self.spark.read.schema(NOTICES).parquet(
-            *[f"{self.root}/{kind}/batch={n:09d}" for n in ids])
-        base = read("base", [base_id]) if base_id is not None else self._empty
+
+        def read(kind: str, ids: list[int]) -> DataFrame:
+            rows = (self.spark.read.schema(NOTICES + ", batch int, year string")
+                    .option("basePath", f"{self.root}/{kind}")
+                    .parquet(*[f"{self.root}/{kind}/batch={n:09d}" for n in ids]))
+            return rows if years is None else rows.filter(F.col("year").isin(years))
+
+        columns = self._empty.columns
+        base = read("base", [base_id]).select(*columns) if base_id is not None else self._empty
         if not delta_ids:
             return base
-        rows = read("delta", delta_ids).withColumn("_file", F.col("_metadata.file_path"))
-        batch = F.regexp_extract("_file", r"batch=(\d+)", 1)
-        newest = first_n(rows.withColumn("_batch", batch), ["id"], [F.col("_batch").desc()], 1)
-        newest = newest.select(*base.columns)
-        return base.join(newest.select("id"), "id", "left_anti").unionByName(newest)
-
-    def _write(self, df: DataFrame, kind: str, batch: int) -> None:
-        (df.select(*self._empty.columns).write.mode("overwrite")
-         .parquet(f"{self.root}/{kind}/batch={batch:09d}"))
+        deltas = read("delta", delta_ids)
+        newest = first_n(deltas, ["id"], [F.col("batch").desc()], 1).select(*columns)
+        if base_id is None:
+            return newest
+        replaced = newest.select("id")
+        if is_small(deltas, F.length("id") + F.lit(16)):
+            replaced = F.broadcast(replaced)     # no more ids than delta rows, which fit
+        return base.join(replaced, "id", "left_anti").unionByName(newest)
+
+    def _write(self, df: DataFrame, kind: str, batch: int, *sort: str) -> None:
+        """One folder per year; rebalancing gives each year as many even files as it needs."""
+        rows = df.select(*self._empty.columns).withColumn("year", _year_of(F.col("id")))
+        rows = rows.hint("rebalance", "year")
+        if sort:
+            rows = rows.sortWithinPartitions("year", *sort)
+        rows.write.mode("overwrite").partitionBy("year").parquet(
+            f"{self.root}/{kind}/batch={batch:09d}")
 
     def _commit(self, batch: int, ids: DataFrame,
                 change: Callable[[DataFrame], DataFrame]) -> None:
         """Writes the changed rows of the given ids as one delta."""
-        touched = self.read(before=batch).join(ids.select("id").distinct(), "id", "left_semi")
-        self._write(change(touched), "delta", batch)
+        ids = ids.select("id").distinct()
+        years = [r[0] for r in ids.select(_year_of(F.col("id"))).distinct().limit(MAX_YEARS + 1)
+                 .collect()]
+        table = self.read(before=batch, years=years if len(years) <= MAX_YEARS else None)
+        self._write(change(table.join(ids, "id", "left_semi")), "delta", batch)
 
     def upsert(self, batch_rows: DataFrame, seq: list[str], batch: int | None = None,
                reset_on_change: bool = False) -> int:
-        from noticeboard.functions.text import tokens
         batch = self.last_batch() + 1 if batch is None else batch
         self._commit(batch, batch_rows, lambda touched: upsert(
             touched, batch_rows, seq, reset_on_change=reset_on_change)
@@ -127,9 +156,5 @@ class NoticeTable:
         code and date so that filters skip row groups."""
         batch = self.last_batch()
         if batch >= 0 and batch not in self._batches("base"):
-            self._write(self.read().sortWithinPartitions("code", "date"), "base", batch)
+            self._write(self.read(), "base", batch, "code", "date")
         return batch
-
-
-__all__ = ["NoticeTable", "append_notices", "full", "get_notice", "get_notices", "latest_per_id",
-           "notices"]
