@@ -44,8 +44,7 @@ def match_phrases(notices: DataFrame, phrases: DataFrame, words_col: str = "word
     anchors in a shuffled join of narrow rows, and only candidate pairs go back to the texts.
     """
     table = phrases if "anchor" in phrases.columns else settled(anchored(phrases, words_col), "phrases")
-    small = is_small(table, 3 * F.length("phrase") + 8 * F.size(words_col) + F.lit(200),
-                     max_rows, max_bytes)
+    small = is_small(table, F.length(F.to_json(F.struct("*"))), max_rows, max_bytes)
     texts = notices.withColumn("spaced_text", spaced(F.col("tokens")))
     keys = F.array_distinct(F.concat(F.col("tokens"), _word_pairs(F.col("tokens"))))
     holds = F.contains(F.col("spaced_text"), F.col("phrase"))

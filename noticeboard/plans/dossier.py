@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from noticeboard.operators.entities import related, timeline
+from noticeboard.session import settled
 
 
 def key_notice(timelines: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def key_notice(timelines: DataFrame) -> DataFrame:
 
 def dossier(notices: DataFrame, entities: DataFrame) -> DataFrame:
     """One row per (entity, related notice); an entity without related notices keeps one row."""
-    picked = key_notice(timeline(notices, entities))
+    # One narrow row per entity, used as seeds and again for the result: written once.
+    picked = settled(key_notice(timeline(notices, entities)), "key-notices")
     links = related(notices, picked.select("id").distinct()).select(
         F.col("seed_id").alias("id"), F.col("id").alias("related_id"),
         F.col("rank").alias("related_rank"))

@@ -41,8 +41,8 @@ def get_notices(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def append_notices(df: DataFrame, path: str) -> None:
     """Durable append by publication year: a failed write leaves nothing behind."""
-    (df.withColumn("year", F.substring("id", 1, 4)).write.mode("append")
-     .partitionBy("year").parquet(path))
+    (df.withColumn("year", _year_of(F.col("id"))).hint("rebalance", "year")
+     .write.mode("append").partitionBy("year").parquet(path))
 
 
 MAX_YEARS = 1000      # distinct id years worth naming in a partition filter
