@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,7 +29,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Registers a query; days and minutes of the request log are UTC whatever the session's zone."""
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -47,7 +53,7 @@ def _pages(spark: SparkSession, sf: str) -> str:
                     F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "json"))),
                                              lambda r: r["json"]), ","), F.lit("]}}"))
     (rows.groupBy("year", "page").agg(page.alias("value")).select("year", "value")
-     .repartition("year").write.partitionBy("year").text(path))
+     .hint("rebalance", "year").write.partitionBy("year").text(path))
     return path
 
 
@@ -337,9 +343,10 @@ def keyword_search(spark, sf):
 
 
 def _doc_vectors(spark, sf):
+    """The documents as a stored notices table: words and vectors are computed once, at write."""
     rows = X.docs(spark, sf)
     vectors = N.embed_texts(rows.select("id", "fulltext"), "fulltext", "embedding")
-    return rows.join(settled(vectors, "vectors"), "id")
+    return settled(rows.join(settled(vectors, "vectors"), "id"), "notices")
 
 
 @query
