@@ -1,11 +1,10 @@
 """SQL counterparts of the registered queries, written independently of the Spark plans."""
 from __future__ import annotations
 
-from noticeboard.catalog.fixtures import TYPE_CODES, WORDS, with_fixtures
-from noticeboard.fixed_values import ACTION_TYPES, EVENT_CATEGORIES, MARKUP_MARKERS, NOTICE_TYPES, SOURCE_STAMP
+from noticeboard.catalog.fixtures import WORDS, with_fixtures
+from noticeboard.fixed_values import EVENT_CATEGORIES, MARKUP_MARKERS, NOTICE_TYPES, SOURCE_STAMP
 
 _CATEGORIES = ", ".join(f"'{c}'" for c in EVENT_CATEGORIES)
-_ACTIONS = ", ".join(f"'{c}'" for c in ACTION_TYPES)
 _TYPE_ROWS = ", ".join(
     "('{}', '{}', '{}', {}, {}, {})".format(*[str(x).replace("'", "''") for x in r])
     for r in NOTICE_TYPES)
@@ -157,7 +156,6 @@ _HALF = """half AS (
            significance_score IS NOT NULL AS enriched, e.embedding
     FROM docs d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
-_GOOD_ANSWER = """(doc_id % 22 > 10 OR doc_id % 22 = 0)"""
 _ANSWERS = f"""answers AS (
     SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 22 AS shape, doc_id, text, source, lang,
            doc_id % 22 = 0 OR doc_id % 22 > 10 AS good FROM documents),
@@ -480,6 +478,10 @@ ORACLE: dict[str, str] = {
            category AS event_category, rule_score AS score, CAST(64 AS BIGINT) AS dim,
            len(regexp_extract_all(lower(title || ' ' || fulltext), {WORDS})) AS n_tokens FROM ruled""",
 
+    "reloaded_notices": with_fixtures("notices") + f"""
+    SELECT id, code, type, {_day('date')} AS date, title, nzbn, company_number,
+           md5(fulltext) AS fulltext_md5, '{SOURCE_STAMP}' AS source FROM notices""",
+
     "window_hits": f"""WITH {_LOG}
     SELECT 'ip_minute' AS kind, ip, strftime(ts, '%Y-%m-%dT%H:%M') AS "window", count(*) AS hits
     FROM log GROUP BY ALL

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticeboard.catalog import fixtures as X
 from noticeboard.catalog.fixtures import table, text_of
-from noticeboard.fixed_values import ACTION_TYPES, EVENT_CATEGORIES
 from noticeboard.functions import annotations as A, clients as C, records as R, text as T
 from noticeboard.operators import (annotate as N, entities as E, filters as P, requests as L,
                                    stats as S, topn, upsert as U)
@@ -535,6 +534,18 @@ def annotation_write_back(spark, sf):
         F.date_format("enriched_at", "yyyy-MM-dd").alias("enriched_at"))
 
 
+@query
+def reloaded_notices(spark, sf):
+    """All landed pages into an empty table, twice: the second load changes nothing."""
+    pages, root = _pages(spark, sf), work_dir(spark, "reload")
+    for _ in range(2):
+        I.full_reload(spark, pages, root)
+    done = V.NoticeTable(spark, root)
+    done.compact()
+    return done.read().select("id", "code", "type", text_of("date"), "title", "nzbn",
+                              "company_number", F.md5("fulltext").alias("fulltext_md5"), "source")
+
+
 @query
 def incremental_update(spark, sf):
     """The nightly update over landed pages; the table it leaves."""

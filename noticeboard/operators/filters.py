@@ -69,8 +69,9 @@ def pending_annotation(df: DataFrame, limit: int | None = None) -> DataFrame:
     return pending.limit(limit) if limit else pending
 
 
-def pending_embedding(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("plain_english").isNotNull() & F.col("embedding").isNull())
+def pending_embedding(df: DataFrame, limit: int | None = None) -> DataFrame:
+    pending = df.filter(F.col("plain_english").isNotNull() & F.col("embedding").isNull())
+    return pending.orderBy("id").limit(limit) if limit else pending
 
 
 def has_vector(df: DataFrame) -> DataFrame:

@@ -122,28 +122,34 @@ class NoticeTable:
         table = self.read(before=batch, years=years if len(years) <= MAX_YEARS else None)
         self._write(change(table.join(ids, "id", "left_semi")), "delta", batch)
 
+    def _staged(self, df: DataFrame, kind: str, batch: int) -> DataFrame:
+        """Incoming rows written first: they are used several times, and answers of outside
+        functions need not be the same when asked again."""
+        path = f"{self.root}/{kind}/batch={batch:09d}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _number(self, batch: int | None) -> int:
+        return self.last_batch() + 1 if batch is None else batch
+
     def upsert(self, batch_rows: DataFrame, seq: list[str], batch: int | None = None,
                reset_on_change: bool = False) -> int:
-        batch = self.last_batch() + 1 if batch is None else batch
-        self._commit(batch, batch_rows, lambda touched: upsert(
-            touched, batch_rows, seq, reset_on_change=reset_on_change)
+        batch = self._number(batch)
+        rows = self._staged(batch_rows, "landed", batch)
+        self._commit(batch, rows, lambda touched: upsert(
+            touched, rows, seq, reset_on_change=reset_on_change)
             .withColumn("tokens", tokens(F.col("title"), F.col("fulltext"))))
         return batch
 
     def annotate(self, annotations: DataFrame, batch: int | None = None) -> int:
-        batch = self.last_batch() + 1 if batch is None else batch
-        # Written first: annotators need not be deterministic, and the rows are used twice.
-        staged = f"{self.root}/answers/batch={batch:09d}"
-        annotations.write.mode("overwrite").parquet(staged)
-        answers = self.spark.read.parquet(staged)
+        batch = self._number(batch)
+        answers = self._staged(annotations, "answers", batch)
         self._commit(batch, answers, lambda touched: apply_annotations(touched, answers))
         return batch
 
     def embed(self, vectors: DataFrame, batch: int | None = None) -> int:
-        batch = self.last_batch() + 1 if batch is None else batch
-        staged = f"{self.root}/vectors/batch={batch:09d}"
-        vectors.write.mode("overwrite").parquet(staged)
-        found = self.spark.read.parquet(staged)
+        batch = self._number(batch)
+        found = self._staged(vectors, "vectors", batch)
         self._commit(batch, found, lambda touched: apply_vectors(touched, found))
         return batch
 

@@ -24,9 +24,8 @@ def stream_ingest(spark: SparkSession, pages: str, table_root: str, checkpoint:
 
     def load(records: DataFrame, batch_id: int) -> None:
         first = offset.setdefault("first", batch_id)
-        rows = build_notices(records, types, keep=tuple(SEQUENCE)).persist()
+        rows = build_notices(records, types, keep=tuple(SEQUENCE))
         table.upsert(rows, SEQUENCE, batch=start + batch_id - first)
-        rows.unpersist()
 
     query = (stream_pages(spark, pages, files_per_batch).writeStream
              .foreachBatch(load).option("checkpointLocation", checkpoint)
