@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,15 @@ def build_session(app_name: str = "noticeboard", master: str | None = None,
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="noticeboard-")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder. Only where none is configured
-    (local tests) does it fall back to a temporary folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="noticeboard-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh folder under the cluster's shared checkpoint folder. Only where the session names none
+    (local tests) it is a temporary folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

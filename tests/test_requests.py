@@ -16,8 +16,6 @@ def events(n=600):
         at += rng.expovariate(1 / 140)
         ip = "hot" if rng.random() < .5 else f"ip{rng.randint(0, 4)}"
         rows.append((i, ip, (start + timedelta(seconds=at)).strftime("%Y-%m-%d %H:%M:%S.%f")))
-        if rng.random() < .3:
-            at -= rng.random() * 0
     return rows
 
 

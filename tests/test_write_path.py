@@ -165,7 +165,7 @@ def test_update_stops_at_the_first_failure(spark, tmp_path):
         raise RuntimeError("no service")
 
     with pytest.raises(Exception):
-        update(spark, paths, date(2024, 1, 25), embedder=lambda t: (_ for _ in ()).throw(ValueError()))
+        update(spark, paths, date(2024, 1, 25), embedder=broken)
     assert not (tmp_path / "stats").exists()
     done = update(spark, paths, date(2024, 1, 25))
     assert (done["annotated"], done["embedded"], done["log_days_kept"], done["log_days_pruned"]) == (0, 1, 1, 1)
