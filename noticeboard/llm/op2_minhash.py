@@ -6,11 +6,13 @@ minhashes) are combined pairwise: band i of the first and band j of the second f
 independent tables. Rows with the same set are one node before anything is paired.
 
 Tables with few nodes under a key yield all their pairs. Nodes under a crowded key (a template that very many
-documents share) go through a second, finer tensor of six minhashes a key; there a crowded key is compared with
-its smallest node and then with its best linked nodes, and what stays unconnected is compared in full. Pairs already in one component
-need no comparison, so large groups of copies never unfold into all pairs. Every candidate is confirmed on full
-sets with exact integer arithmetic. A pair of similarity 0.75 is found with probability 0.9995 by the first
-tensor, 0.9997 by the finer one; higher similarity comes still nearer to one.
+documents share) are compared with the key's smallest node, then with its best linked one; pairs then in one
+component need no comparison, so large groups of copies never unfold into all pairs. What stays unconnected goes
+through a second, finer tensor of six minhashes a key, where nodes outside a key's largest component meet the
+others under it, unless one-bit minhash sketches tell that they are too far apart. Every candidate is confirmed
+on full sets with exact integer arithmetic. A pair of similarity 0.75 is found with probability 0.9995 by the
+first tensor, 0.9997 by the finer one, and passes the sketches with 0.9999997; higher similarity comes still
+nearer to one.
 
 Nulls and ties: null text is empty; an empty set links with nothing; rows of the same id are separate rows; a
 null id never becomes a component's id while the component has a non-null one; extra columns are ignored.
@@ -32,6 +34,12 @@ THRESHOLD = 75           # percent of the union
 WIDE = (10, 2)           # bands per collection, minhashes per band
 FINE = (16, 3)
 CROWD = 32               # nodes under a key beyond which its pairs are not all formed at once
+SKETCH_WORDS = 6         # of 64 one-bit minhashes
+# At similarity 0.75 an eighth of the bits differ; five standard deviations are added.
+SKETCH_MOST = int(SKETCH_WORDS * 8 + 5 * (SKETCH_WORDS * 64 * 0.125 * 0.875) ** 0.5)
+
+
+WORDS = [f"w{i}" for i in range(SKETCH_WORDS)]
 
 
 def band_hashes(values: np.ndarray, starts: np.ndarray, shape: tuple[int, int], seed: int) -> np.ndarray:
@@ -50,6 +58,20 @@ def band_hashes(values: np.ndarray, starts: np.ndarray, shape: tuple[int, int],
     return out
 
 
+def sketch_words(values: np.ndarray, seed: int = 3) -> list[int]:
+    """One bit of each of 64 * SKETCH_WORDS minhashes of a set."""
+    salts = np.random.default_rng(seed).integers(1, 2 ** 63, 64 * SKETCH_WORDS, dtype=np.uint64)
+    least = np.full(len(salts), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(values), 4096):
+        x = values[None, start:start + 4096] ^ salts[:, None]
+        x *= np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, x.min(axis=1), out=least)
+    bits = (mixed(least) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def node_ids(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """One 64-bit id per set, 0 for the empty set."""
     sizes = np.diff(starts)
@@ -87,8 +109,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [block.column("node").take(pa.array(own)), pa.array(np.diff(starts)[own].astype(np.int64)),
              pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 2 * FINE[0], dtype=np.int32), flat),
+             pa.array([sketch_words(values[starts[i]:starts[i + 1]]) for i in own], pa.list_(pa.int64())),
              pa.array([values[starts[i]:starts[i + 1]].tobytes() for i in own], pa.binary())],
-            ["node", "n", "bands", "members"])
+            ["node", "n", "bands", "sketch", "members"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +127,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
-def _crowded(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (key, node, size) rows of keys that at least two nodes share."""
+def _keys(nodes: DataFrame, bands: int) -> DataFrame:
+    """Stored rows (key, node, size) of the keys that at least two nodes share."""
     at = F.sequence(F.lit(0), F.lit(bands - 1))
     keys = F.flatten(F.transform(at, lambda i: F.transform(
         at, lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j + bands)))))
     rows = nodes.select("node", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    table = stored(rows.join(shared, "key"), "banding")
-    return table.filter(F.col("size") <= CROWD), table.filter(F.col("size") > CROWD)
+    return stored(rows.join(shared, "key"), "banding")
 
 
 def _all_pairs(bucket: DataFrame) -> DataFrame:
@@ -152,15 +174,18 @@ def _open(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(known.join(mixed_keys, "key", "left_semi"), "open-keys")
 
 
-def _across(crowded: DataFrame) -> DataFrame:
-    """All pairs of different components under a key: the nodes outside the key's largest component against all."""
-    sizes = crowded.groupBy("key", "label").agg(F.count("*").alias("n"))
+def _across(keyed: DataFrame) -> DataFrame:
+    """Pairs of different components under a key that sizes and sketches allow: the nodes outside the key's
+    largest component against all."""
+    sizes = keyed.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("largest"))
-    few = (crowded.join(largest, "key").filter("label <> largest")
-           .select("key", F.col("node").alias("x"), F.col("label").alias("label_x")))
-    return (few.join(crowded.select("key", F.col("node").alias("y"), F.col("label").alias("label_y")), "key")
-            .filter("label_x <> label_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct())
+    side = lambda df, c: df.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", *WORDS)))
+    few = side(keyed.join(largest, "key").filter("label <> largest"), "x")
+    apart = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in WORDS), F.lit(0))
+    return (few.join(side(keyed, "y"), "key")
+            .filter((F.col("label_x") != F.col("label_y")) & (apart <= SKETCH_MOST)
+                    & F.expr("100 * least(n_x, n_y) >= 75 * greatest(n_x, n_y)"))
+            .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -171,31 +196,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _signatures, "doc_id long, n_shingles long, node long, bands array<long>"), "signatures")
     nodes = (signed.filter("n_shingles > 0").groupBy("node")
              .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
-    few, many = _crowded(nodes, WIDE[0])
-    paired = stored(few.select("node").union(many.select("node")).distinct(), "candidates")
+    keyed = _keys(nodes, WIDE[0])
+    few, many = keyed.filter(F.col("size") <= CROWD), keyed.filter(F.col("size") > CROWD)
+    paired = stored(keyed.select("node").distinct(), "candidates")
     # One row of each candidate set is read again for its full set.
     chosen = (signed.filter("n_shingles > 0").join(small_side(paired), "node", "left_semi").groupBy("node")
               .agg(F.min(F.coalesce("doc_id", F.lit(-2 ** 63))).alias("at")))
     wanted = small_side(stored(chosen, "chosen"))
     texts = source.withColumn("at", F.coalesce("doc_id", F.lit(-2 ** 63))).join(wanted, "at").select("node", "text")
-    own = texts.mapInArrow(_sets, "node long, n long, bands array<long>, members binary")
+    own = texts.mapInArrow(_sets, "node long, n long, bands array<long>, sketch array<long>, members binary")
     sets = stored(own.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"),
+                                          *(F.first(F.get("sketch", F.lit(i))).alias(w) for i, w in enumerate(WORDS)),
                                           F.first("members").alias("members")), "sets")
 
-    links = _links(_all_pairs(few), sets)
-    crowd = sets.join(many.select("node").distinct(), "node", "left_semi").select("node", "bands")
-    few, many = _crowded(crowd, FINE[0])
-    links = links.union(_links(_all_pairs(few).union(_stars(many, None)).distinct(), sets))
+    links = _links(_all_pairs(few).union(_stars(many, None)).distinct(), sets)
     labels = connected_components(links)
-    many = _open(many, labels)
     if not many.isEmpty():
         degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
                   .agg(F.count("*").alias("degree")))
         links = links.union(_links(_stars(many, degree), sets))
         labels = connected_components(links)
-        many = _open(many, labels)
-    if not many.isEmpty():
-        links = links.union(_links(_across(many), sets))
+        apart = _open(many, labels).select("node", "label").distinct()
+        fine = _keys(sets.join(apart, "node", "left_semi"), FINE[0])
+        keyed = fine.join(sets.join(apart, "node").select("node", "label", "n", *WORDS), "node")
+        links = links.union(_links(_across(keyed), sets))
         labels = connected_components(links)
 
     home = nodes.select("node", "first_id").join(labels, "node")

@@ -1,11 +1,15 @@
-"""The registered queries of this package and their SQL counterparts."""
+"""The registered queries of this package: thin digests of what its operators return."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticeboard.llm.op2_minhash import near_duplicates
+from noticeboard.llm.op3_sentencepiece import decode, encode
+from noticeboard.llm.op5_spans import drop_repeated_spans
+from noticeboard.llm.op8_decontaminate import contaminated
+from noticeboard.llm.op10_fertility import COUNTS, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,30 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id", "kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_minhash": op2_minhash,
-}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decode(ids).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_n_sentences").alias("n_sentences"),
+                      F.col("_n_removed").alias("n_removed"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                         _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("_items").alias("item_ids"), (F.size("_items") == 0).alias("kept"))
+
+
+def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *COUNTS, "base_failed", "kept", "n_tokens", "n_bytes", "entropy",
+                      "odd_fertility", "odd_bytes", "odd_entropy")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_minhash, op3_sentencepiece, op5_spans, op8_decontaminate, op10_fertility)}
