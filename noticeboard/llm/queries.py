@@ -9,6 +9,7 @@ from noticeboard.llm.op2_minhash import near_duplicates
 from noticeboard.llm.op3_sentencepiece import decode, encode
 from noticeboard.llm.op5_spans import drop_repeated_spans
 from noticeboard.llm.op8_decontaminate import contaminated
+from noticeboard.llm.op9_quality import judged
 from noticeboard.llm.op10_fertility import COUNTS, quality_rules
 
 
@@ -40,6 +41,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_items").alias("item_ids"), (F.size("_items") == 0).alias("kept"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.round("_p_good", 6).alias("p_good"), F.col("_keep").alias("kept"))
+
+
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "n_tokens", "n_bytes", "entropy",
@@ -47,4 +53,4 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_minhash, op3_sentencepiece, op5_spans, op8_decontaminate, op10_fertility)}
+    op2_minhash, op3_sentencepiece, op5_spans, op8_decontaminate, op9_quality, op10_fertility)}
