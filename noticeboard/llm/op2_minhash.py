@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeboard.llm.blocks import mixed, segment_sums, text_blocks, texts_of
 from noticeboard.llm.components import connected_components
@@ -33,15 +33,12 @@ from noticeboard.llm.tables import small_side, stored
 THRESHOLD = 75           # percent of the union
 WIDE = (10, 2)           # bands per collection, minhashes per band
 FINE = (16, 3)
-CROWD = 32               # nodes under a key beyond which its pairs are not all formed at once
-SKETCH_WORDS = 6         # of 64 one-bit minhashes
+CROWD = 20               # nodes under a key beyond which its pairs are not all formed at once
+SKETCH_WORDS = 32        # of 64 one-bit minhashes
 # At similarity 0.75 an eighth of the bits differ; five standard deviations are added.
 SKETCH_MOST = int(SKETCH_WORDS * 8 + 5 * (SKETCH_WORDS * 64 * 0.125 * 0.875) ** 0.5)
 
 
-WORDS = [f"w{i}" for i in range(SKETCH_WORDS)]
-
-
 def band_hashes(values: np.ndarray, starts: np.ndarray, shape: tuple[int, int], seed: int) -> np.ndarray:
     """[rows, 2 * bands] 64-bit hashes; every row has at least one value."""
     bands, depth = shape
@@ -62,8 +59,8 @@ def sketch_words(values: np.ndarray, seed: int = 3) -> list[int]:
     """One bit of each of 64 * SKETCH_WORDS minhashes of a set."""
     salts = np.random.default_rng(seed).integers(1, 2 ** 63, 64 * SKETCH_WORDS, dtype=np.uint64)
     least = np.full(len(salts), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(values), 4096):
-        x = values[None, start:start + 4096] ^ salts[:, None]
+    for start in range(0, len(values), 256):
+        x = values[None, start:start + 256] ^ salts[:, None]
         x *= np.uint64(0x9FB21C651E98DF25)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
@@ -103,15 +100,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.flatnonzero(node_ids(values, starts) == block.column("node").to_numpy())
         if not len(own):
             continue
-        fine = np.stack([band_hashes(values[starts[i]:starts[i + 1]], np.array([0, starts[i + 1] - starts[i]]),
-                                     FINE, 2)[0] for i in own])
-        flat = pa.array(fine.ravel().view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [block.column("node").take(pa.array(own)), pa.array(np.diff(starts)[own].astype(np.int64)),
-             pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 2 * FINE[0], dtype=np.int32), flat),
-             pa.array([sketch_words(values[starts[i]:starts[i + 1]]) for i in own], pa.list_(pa.int64())),
              pa.array([values[starts[i]:starts[i + 1]].tobytes() for i in own], pa.binary())],
-            ["node", "n", "bands", "sketch", "members"])
+            ["node", "n", "members"])
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band hashes of the finer tensor and sketches of sets (node, n, label, members)."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1)
+            values = np.frombuffer(row.column("members")[0].as_buffer(), np.uint64)
+            bands = band_hashes(values, np.array([0, len(values)]), FINE, 2)[0].view(np.int64)
+            arrays = [pa.array([x], pa.list_(pa.int64())) for x in (bands.tolist(), sketch_words(values))]
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("node", "n", "label")), *arrays],
+                                             ["node", "n", "label", "bands", "sketch"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +132,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(nodes: DataFrame, bands: int) -> DataFrame:
-    """Stored rows (key, node, size) of the keys that at least two nodes share."""
+    """Stored rows (key, node, table, size) of the keys that at least two nodes share."""
     at = F.sequence(F.lit(0), F.lit(bands - 1))
     keys = F.flatten(F.transform(at, lambda i: F.transform(
         at, lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j + bands)))))
-    rows = nodes.select("node", F.explode(keys).alias("key"))
+    rows = nodes.select("node", F.posexplode(keys).alias("table", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     return stored(rows.join(shared, "key"), "banding")
 
@@ -176,15 +180,24 @@ def _open(crowded: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _across(keyed: DataFrame) -> DataFrame:
     """Pairs of different components under a key that sizes and sketches allow: the nodes outside the key's
-    largest component against all."""
+    largest component against all. A pair comes out of the first table that it shares, and so only once."""
     sizes = keyed.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("largest"))
-    side = lambda df, c: df.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", *WORDS)))
-    few = side(keyed.join(largest, "key").filter("label <> largest"), "x")
-    apart = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in WORDS), F.lit(0))
+    side = lambda df, c: df.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "bands", "sketch")))
+    few = side(keyed.join(largest, "key").filter("label <> largest"), "x").join(
+        keyed.select("key", "table").distinct(), "key")
+    apart = sum((F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i))))
+                 for i in range(SKETCH_WORDS)), F.lit(0))
+    bands = FINE[0]
+
+    def met(start: int, count: Column) -> Column:
+        part = [F.slice(f"bands_{c}", F.lit(start), count.cast("int")) for c in "xy"]
+        return F.exists(F.zip_with(*part, lambda p, q: p == q), lambda z: z)
+    row, column = F.floor(F.col("table") / bands), F.col("table") % bands
     return (few.join(side(keyed, "y"), "key")
-            .filter((F.col("label_x") != F.col("label_y")) & (apart <= SKETCH_MOST)
-                    & F.expr("100 * least(n_x, n_y) >= 75 * greatest(n_x, n_y)"))
+            .filter((F.col("label_x") != F.col("label_y"))
+                    & F.expr("100 * least(n_x, n_y) >= 75 * greatest(n_x, n_y)") & (apart <= SKETCH_MOST)
+                    & ~met(1, row) & ~met(bands + 1, column))
             .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
 
@@ -204,10 +217,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
               .agg(F.min(F.coalesce("doc_id", F.lit(-2 ** 63))).alias("at")))
     wanted = small_side(stored(chosen, "chosen"))
     texts = source.withColumn("at", F.coalesce("doc_id", F.lit(-2 ** 63))).join(wanted, "at").select("node", "text")
-    own = texts.mapInArrow(_sets, "node long, n long, bands array<long>, sketch array<long>, members binary")
-    sets = stored(own.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"),
-                                          *(F.first(F.get("sketch", F.lit(i))).alias(w) for i, w in enumerate(WORDS)),
-                                          F.first("members").alias("members")), "sets")
+    own = texts.mapInArrow(_sets, "node long, n long, members binary")
+    sets = stored(own.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members")), "sets")
 
     links = _links(_all_pairs(few).union(_stars(many, None)).distinct(), sets)
     labels = connected_components(links)
@@ -217,8 +228,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(_links(_stars(many, degree), sets))
         labels = connected_components(links)
         apart = _open(many, labels).select("node", "label").distinct()
-        fine = _keys(sets.join(apart, "node", "left_semi"), FINE[0])
-        keyed = fine.join(sets.join(apart, "node").select("node", "label", "n", *WORDS), "node")
+        fine = stored(sets.join(apart, "node").select("node", "n", "label", "members").mapInArrow(
+            _fine, "node long, n long, label long, bands array<long>, sketch array<long>"), "fine")
+        keyed = _keys(fine, FINE[0]).join(fine, "node")
         links = links.union(_links(_across(keyed), sets))
         labels = connected_components(links)
 

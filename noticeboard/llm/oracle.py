@@ -4,7 +4,21 @@ from __future__ import annotations
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"[^\x20\x09-\x0D]+"
 
+CONTROL = (r"\|(?:turn|text|end|image|audio|document|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|/?SYS>>|<SYS>>"
+           r"|<\/SYS>>")
+
 ORACLE: dict[str, str] = {
+    "op1_chat": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                                           (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+f AS (SELECT *, regexp_replace(text, '([<\[])(\\*)({CONTROL})', '\1\\\2\3', 'g') AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(escaped) + length(role) + 23)::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens
+FROM f GROUP BY conv_id""",
     "op2_minhash": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
