@@ -33,8 +33,8 @@ COMMON = 20_000              # words whose counts every task holds
 CLASSES = 400                # of them output words of the neural model
 WIDTH = 24
 NOISE = 32                   # noise words shared by a minibatch
-BATCH = 2048
-RATE = 0.1
+BATCH = 1024
+RATE = 0.07
 BUCKET_WORDS = 1_000_000     # corpus tokens per bucket of rare words
 BLOCK_BYTES = 4 << 20
 END_HASH = 0x656E64          # no word: words are named by hashes of their bytes
@@ -70,7 +70,7 @@ class Model:
         self.output = np.zeros((k, WIDTH), np.float32)   # starts as the unigram model
         self.mix = np.ones((2, WIDTH), np.float32)
         self.bias = log_unigram.astype(np.float32)
-        self.past = [np.full_like(x, 1e-4) for x in self.arrays()]  # sums of squared steps (AdaGrad)
+        self.past = [np.full_like(x, 1e-5) for x in self.arrays()]  # sums of squared steps (AdaGrad)
 
     def arrays(self) -> list[np.ndarray]:
         return [self.context, self.output, self.mix, self.bias]
@@ -160,6 +160,9 @@ class Vocabulary:
         own[self.rare] = max(0, total - own.sum())
         self.rare_tokens = int(own[self.rare])
         self.rare_words = max(0, distinct - self.n_classes - (end > 0))
+        # The spare count of every rare word counts for its class, in the prior and in training.
+        self.rare_weight = 1 + self.rare_words / max(1, self.rare_tokens)
+        own[self.rare] += self.rare_words
         self.unigram = (own + 1) / (own + 1).sum()
 
     def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,6 +198,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             token, first, second, _, _ = _sequence(words, v.find(_named(words))[2], v.rare, v.end)
             k = len(v.unigram)
             key, times = np.unique((first * k + second) * k + token, return_counts=True)
+            times = np.where(key % k == v.rare, times * v.rare_weight, times)
             model.train(np.stack([key // (k * k), key // k % k, key % k], axis=1), times, v.unigram, rng)
             seen += len(token)
         if seen:
