@@ -24,3 +24,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         if nxt.filter("label <> was").limit(1).count() == 0:
             return nxt.select("node", "label")
         labels = nxt.select("node", "label")
+
+
+def merged_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of the graph that labels already describe, with further links: only links between different
+    components are worked on, as links between their labels."""
+    own = [links.select(F.col(c).alias("node"), F.col(c).alias("label")) for c in ("a", "b")]
+    known = stored(labels.union(own[0]).union(own[1]).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    ends = links.select("a", "b")
+    for c in ("a", "b"):
+        ends = ends.join(known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c)
+    between = ends.filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    moved = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return stored(known.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")

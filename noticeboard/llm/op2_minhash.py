@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeboard.llm.blocks import mixed, segment_sums, text_blocks, texts_of
-from noticeboard.llm.components import connected_components
+from noticeboard.llm.components import connected_components, merged_components
 from noticeboard.llm.shingles import shingle_sets
 from noticeboard.llm.tables import small_side, stored
 
@@ -132,42 +132,43 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(nodes: DataFrame, bands: int) -> DataFrame:
-    """Stored rows (key, node, table, size) of the keys that at least two nodes share."""
+    """Stored rows (key, node, n, table, size) of the keys that at least two nodes share."""
     at = F.sequence(F.lit(0), F.lit(bands - 1))
     keys = F.flatten(F.transform(at, lambda i: F.transform(
         at, lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j + bands)))))
-    rows = nodes.select("node", F.posexplode(keys).alias("table", "key"))
+    rows = nodes.select("node", "n", F.posexplode(keys).alias("table", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     return stored(rows.join(shared, "key"), "banding")
 
 
+def _sizes_fit(a: str, b: str) -> str:
+    return f"100 * least({a}, {b}) >= {THRESHOLD} * greatest({a}, {b})"
+
+
 def _all_pairs(bucket: DataFrame) -> DataFrame:
-    """All pairs of keys of at most CROWD nodes."""
-    lists = bucket.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    return (lists.select(F.explode("nodes").alias("a"), "nodes")
-            .select("a", F.explode(F.filter("nodes", lambda x: x > F.col("a"))).alias("b")).distinct())
+    """All pairs of keys of at most CROWD nodes whose sizes allow the threshold."""
+    lists = bucket.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("nodes"))
+    return (lists.select(F.explode("nodes").alias("x"), "nodes")
+            .select("x", F.explode(F.filter("nodes", lambda y: y["node"] > F.col("x.node"))).alias("y"))
+            .filter(_sizes_fit("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    size = sets.select("node", "n")
-    left, right = (size.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    near = (pairs.join(left, "a").join(right, "b")
-            .filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select("a", "b"))
     left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-    full = near.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
     return stored(full.mapInArrow(_confirmed, "a long, b long"), "links")
 
 
 def _stars(crowded: DataFrame, rank: DataFrame | None) -> DataFrame:
     """Every node of a crowded key paired with the key's leading node: the smallest, or the best ranked."""
+    node = F.struct("node", "n")
     if rank is None:
-        lead = crowded.groupBy("key").agg(F.min("node").alias("lead"))
+        lead = crowded.groupBy("key").agg(F.min(node).alias("lead"))
     else:
-        lead = (crowded.join(rank, "node").groupBy("key")
-                .agg(F.max(F.struct("degree", "node")).getField("node").alias("lead")))
-    return (crowded.join(lead, "key").filter("node <> lead")
-            .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+        lead = crowded.join(rank, "node").groupBy("key").agg(F.max_by(node, F.struct("degree", "node")).alias("lead"))
+    return (crowded.join(lead, "key").filter(F.col("node") != F.col("lead.node")).filter(_sizes_fit("n", "lead.n"))
+            .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
 
 
 def _open(crowded: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def _across(keyed: DataFrame) -> DataFrame:
     row, column = F.floor(F.col("table") / bands), F.col("table") % bands
     return (few.join(side(keyed, "y"), "key")
             .filter((F.col("label_x") != F.col("label_y"))
-                    & F.expr("100 * least(n_x, n_y) >= 75 * greatest(n_x, n_y)") & (apart <= SKETCH_MOST)
+                    & F.expr(_sizes_fit("n_x", "n_y")) & (apart <= SKETCH_MOST)
                     & ~met(1, row) & ~met(bands + 1, column))
             .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(source.mapInArrow(
         _signatures, "doc_id long, n_shingles long, node long, bands array<long>"), "signatures")
     nodes = (signed.filter("n_shingles > 0").groupBy("node")
-             .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+             .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     keyed = _keys(nodes, WIDE[0])
     few, many = keyed.filter(F.col("size") <= CROWD), keyed.filter(F.col("size") > CROWD)
     paired = stored(keyed.select("node").distinct(), "candidates")
@@ -225,14 +226,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not many.isEmpty():
         degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
                   .agg(F.count("*").alias("degree")))
-        links = links.union(_links(_stars(many, degree), sets))
-        labels = connected_components(links)
+        labels = merged_components(labels, _links(_stars(many, degree), sets))
         apart = _open(many, labels).select("node", "label").distinct()
         fine = stored(sets.join(apart, "node").select("node", "n", "label", "members").mapInArrow(
             _fine, "node long, n long, label long, bands array<long>, sketch array<long>"), "fine")
-        keyed = _keys(fine, FINE[0]).join(fine, "node")
-        links = links.union(_links(_across(keyed), sets))
-        labels = connected_components(links)
+        keyed = _keys(fine, FINE[0]).drop("n").join(fine, "node")
+        labels = merged_components(labels, _links(_across(keyed), sets))
 
     home = nodes.select("node", "first_id").join(labels, "node")
     lowest = home.groupBy("label").agg(F.min("first_id").alias("lowest"))
