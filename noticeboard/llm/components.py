@@ -37,3 +37,11 @@ def merged_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = ends.filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
     moved = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
     return stored(known.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def star_components(links: DataFrame) -> DataFrame:
+    """Components of links that are mostly stars: every node starts from its smallest neighbour, which leaves few
+    links between different labels."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    return merged_components(near.select("node", F.least("node", "label").alias("label")), links)

@@ -5,13 +5,13 @@ minhashes) are combined pairwise: band i of the first and band j of the second f
 2m bands give m * m tables of four minhashes each, and minhash work is about the square root of that of
 independent tables. Rows with the same set are one node before anything is paired.
 
-Tables with few nodes under a key yield all their pairs. Nodes under a crowded key (a template that very many
-documents share) are compared with the key's smallest node, then with its best linked one; pairs then in one
-component need no comparison, so large groups of copies never unfold into all pairs. What stays unconnected goes
-through a second, finer tensor of six minhashes a key, where nodes outside a key's largest component meet the
-others under it, unless one-bit minhash sketches tell that they are too far apart. Every candidate is confirmed
-on full sets with exact integer arithmetic. A pair of similarity 0.75 is found with probability 0.9995 by the
-first tensor, 0.9997 by the finer one, and passes the sketches with 0.9999997; higher similarity comes still
+The nodes under a key are first compared with the smallest of them; pairs then in one component need no
+comparison, so large groups of copies never unfold into all pairs. Keys of few nodes yield all other pairs.
+Crowded keys (a template that very many documents share) compare with their best linked node, and what stays
+unconnected goes through a second, finer tensor of six minhashes a key, where nodes outside a key's largest
+component meet the others under it, unless one-bit minhash sketches tell that they are too far apart. Every
+candidate is confirmed on full sets with exact integer arithmetic. A pair of similarity 0.75 is found with probability 0.9995 by the
+first tensor, 0.9997 by the finer one, and passes the sketches with 0.999997; higher similarity comes still
 nearer to one.
 
 Nulls and ties: null text is empty; an empty set links with nothing; rows of the same id are separate rows; a
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeboard.llm.blocks import mixed, segment_sums, text_blocks, texts_of
-from noticeboard.llm.components import connected_components, merged_components
+from noticeboard.llm.components import merged_components, star_components
 from noticeboard.llm.shingles import shingle_sets
 from noticeboard.llm.tables import small_side, stored
 
@@ -35,8 +35,8 @@ WIDE = (10, 2)           # bands per collection, minhashes per band
 FINE = (16, 3)
 CROWD = 20               # nodes under a key beyond which its pairs are not all formed at once
 SKETCH_WORDS = 32        # of 64 one-bit minhashes
-# At similarity 0.75 an eighth of the bits differ; five standard deviations are added.
-SKETCH_MOST = int(SKETCH_WORDS * 8 + 5 * (SKETCH_WORDS * 64 * 0.125 * 0.875) ** 0.5)
+# At similarity 0.75 an eighth of the bits differ; four and a half standard deviations are added.
+SKETCH_MOST = int(SKETCH_WORDS * 8 + 4.5 * (SKETCH_WORDS * 64 * 0.125 * 0.875) ** 0.5)
 
 
 def band_hashes(values: np.ndarray, starts: np.ndarray, shape: tuple[int, int], seed: int) -> np.ndarray:
@@ -171,6 +171,13 @@ def _stars(crowded: DataFrame, rank: DataFrame | None) -> DataFrame:
             .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that are not in one component yet."""
+    for c in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+    return (pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"))
+
+
 def _open(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     """The crowded keys whose nodes are in more than one component, with each node's component."""
     known = crowded.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -221,12 +228,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = texts.mapInArrow(_sets, "node long, n long, members binary")
     sets = stored(own.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members")), "sets")
 
-    links = _links(_all_pairs(few).union(_stars(many, None)).distinct(), sets)
-    labels = connected_components(links)
+    links = _links(_stars(keyed, None), sets)
+    labels = star_components(links)
+    degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
+              .agg(F.count("*").alias("degree")))
+    more = _apart(_all_pairs(few).union(_stars(many, degree)).distinct(), labels)
+    labels = merged_components(labels, _links(more, sets))
     if not many.isEmpty():
-        degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-                  .agg(F.count("*").alias("degree")))
-        labels = merged_components(labels, _links(_stars(many, degree), sets))
         apart = _open(many, labels).select("node", "label").distinct()
         fine = stored(sets.join(apart, "node").select("node", "n", "label", "members").mapInArrow(
             _fine, "node long, n long, label long, bands array<long>, sketch array<long>"), "fine")

@@ -57,7 +57,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(texts_of(block))
         times = np.bincount(words.codes, minlength=len(words.names)).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(_named(words), END_HASH)), pa.array(np.append(times, block.num_rows))], ["word", "n"])
+            [pa.array(np.append(_named(words)[times > 0], END_HASH)), pa.array(np.append(times[times > 0], block.num_rows))],
+            ["word", "n"])
 
 
 class Model:
