@@ -7,12 +7,10 @@ independent tables. Rows with the same set are one node before anything is paire
 
 The nodes under a key are first compared with the smallest of them; pairs then in one component need no
 comparison, so large groups of copies never unfold into all pairs. Keys of few nodes yield all other pairs.
-Crowded keys (a template that very many documents share) compare with their best linked node, and what stays
-unconnected goes through a second, finer tensor of six minhashes a key, where nodes outside a key's largest
-component meet the others under it, unless one-bit minhash sketches tell that they are too far apart. Every
-candidate is confirmed on full sets with exact integer arithmetic. A pair of similarity 0.75 is found with probability 0.9995 by the
-first tensor, 0.9997 by the finer one, and passes the sketches with 0.999997; higher similarity comes still
-nearer to one.
+Crowded keys (a template that very many documents share) compare with their best linked node, and then the nodes
+outside a key's largest component meet the others under it, unless one-bit minhash sketches tell that they are too
+far apart. Every candidate is confirmed on full sets with exact integer arithmetic. A pair of similarity 0.75 is
+found with probability 0.9995, and passes the sketches with 0.999997; higher similarity comes still nearer to one.
 
 Nulls and ties: null text is empty; an empty set links with nothing; rows of the same id are separate rows; a
 null id never becomes a component's id while the component has a non-null one; extra columns are ignored.
@@ -31,8 +29,7 @@ from noticeboard.llm.shingles import shingle_sets
 from noticeboard.llm.tables import small_side, stored
 
 THRESHOLD = 75           # percent of the union
-WIDE = (10, 2)           # bands per collection, minhashes per band
-FINE = (16, 3)
+BANDS = (10, 2)          # bands per collection, minhashes per band
 CROWD = 20               # nodes under a key beyond which its pairs are not all formed at once
 SKETCH_WORDS = 32        # of 64 one-bit minhashes
 # At similarity 0.75 an eighth of the bits differ; four and a half standard deviations are added.
@@ -81,14 +78,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, starts = shingle_sets(texts_of(block))
         sizes = np.diff(starts)
         node = node_ids(values, starts)
-        bands = np.zeros((len(sizes), 2 * WIDE[0]), np.uint64)
+        bands = np.zeros((len(sizes), 2 * BANDS[0]), np.uint64)
         full = np.flatnonzero(sizes)
         if len(full):
-            bands[full] = band_hashes(values, np.append(starts[full], len(values)), WIDE, 1)
+            bands[full] = band_hashes(values, np.append(starts[full], len(values)), BANDS, 1)
         flat = pa.array(bands.ravel().view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [block.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(node),
-             pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 2 * WIDE[0], dtype=np.int32), flat)],
+             pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 2 * BANDS[0], dtype=np.int32), flat)],
             ["doc_id", "n_shingles", "node", "bands"])
 
 
@@ -106,16 +103,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["node", "n", "members"])
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band hashes of the finer tensor and sketches of sets (node, n, label, members)."""
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band hashes and sketches of sets (node, members)."""
     for batch in batches:
         for at in range(batch.num_rows):
             row = batch.slice(at, 1)
             values = np.frombuffer(row.column("members")[0].as_buffer(), np.uint64)
-            bands = band_hashes(values, np.array([0, len(values)]), FINE, 2)[0].view(np.int64)
+            bands = band_hashes(values, np.array([0, len(values)]), BANDS, 1)[0].view(np.int64)
             arrays = [pa.array([x], pa.list_(pa.int64())) for x in (bands.tolist(), sketch_words(values))]
-            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("node", "n", "label")), *arrays],
-                                             ["node", "n", "label", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([row.column("node"), *arrays], ["node", "bands", "sketch"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +192,7 @@ def _across(keyed: DataFrame) -> DataFrame:
         keyed.select("key", "table").distinct(), "key")
     apart = sum((F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i))))
                  for i in range(SKETCH_WORDS)), F.lit(0))
-    bands = FINE[0]
+    bands = BANDS[0]
 
     def met(start: int, count: Column) -> Column:
         part = [F.slice(f"bands_{c}", F.lit(start), count.cast("int")) for c in "xy"]
@@ -217,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _signatures, "doc_id long, n_shingles long, node long, bands array<long>"), "signatures")
     nodes = (signed.filter("n_shingles > 0").groupBy("node")
              .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    keyed = _keys(nodes, WIDE[0])
+    keyed = _keys(nodes, BANDS[0])
     few, many = keyed.filter(F.col("size") <= CROWD), keyed.filter(F.col("size") > CROWD)
     paired = stored(keyed.select("node").distinct(), "candidates")
     # One row of each candidate set is read again for its full set.
@@ -235,11 +231,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _apart(_all_pairs(few).union(_stars(many, degree)).distinct(), labels)
     labels = merged_components(labels, _links(more, sets))
     if not many.isEmpty():
-        apart = _open(many, labels).select("node", "label").distinct()
-        fine = stored(sets.join(apart, "node").select("node", "n", "label", "members").mapInArrow(
-            _fine, "node long, n long, label long, bands array<long>, sketch array<long>"), "fine")
-        keyed = _keys(fine, FINE[0]).drop("n").join(fine, "node")
-        labels = merged_components(labels, _links(_across(keyed), sets))
+        crowd = _open(many, labels)
+        sketched = stored(sets.join(crowd.select("node").distinct(), "node").select("node", "members").mapInArrow(
+            _sketched, "node long, bands array<long>, sketch array<long>"), "sketches")
+        labels = merged_components(labels, _links(_across(crowd.join(sketched, "node")), sets))
 
     home = nodes.select("node", "first_id").join(labels, "node")
     lowest = home.groupBy("label").agg(F.min("first_id").alias("lowest"))
