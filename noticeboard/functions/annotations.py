@@ -52,6 +52,9 @@ def clamp_score(value: Column) -> Column:
     """0..100; a missing score is 0, a score that is not an integer gives null (row skipped)."""
     missing = F.isnull(_field(value, "significance_score"))
     score = F.try_variant_get(value, "$.significance_score", "int")
+    wide = F.try_variant_get(value, "$.significance_score", "double")
+    # Numbers beyond the integer range are clamped like all others.
+    score = F.coalesce(score, F.when(wide >= 2.0 ** 31, F.lit(100)).when(wide < -2.0 ** 31, F.lit(0)))
     return F.when(missing, F.lit(0)).otherwise(
         F.when(score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), score))))
 

@@ -9,7 +9,7 @@ from noticeboard.sources.types import notice_types
 
 
 def stream_ingest(spark: SparkSession, pages: str, table_root: str, checkpoint: str,
-                  files_per_batch: int = 1000) -> int:
+                  files_per_batch: int = 1000, skip_damaged: bool = False) -> int:
     """Reads every page file not seen before and upserts its notices, then stops. Returns the
     number of micro-batches.
 
@@ -24,14 +24,15 @@ def stream_ingest(spark: SparkSession, pages: str, table_root: str, checkpoint:
 
     def load(records: DataFrame, batch_id: int) -> None:
         first = offset.setdefault("first", batch_id)
+        offset["batches"] = offset.get("batches", 0) + 1
         rows = build_notices(records, types, keep=tuple(SEQUENCE))
         table.upsert(rows, SEQUENCE, batch=start + batch_id - first)
 
-    query = (stream_pages(spark, pages, files_per_batch).writeStream
+    query = (stream_pages(spark, pages, files_per_batch, skip_damaged).writeStream
              .foreachBatch(load).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return sum(1 for p in query.recentProgress if p["numInputRows"])
+    return offset.get("batches", 0)
 
 
 def full_reload(spark: SparkSession, pages: str, table_root: str, year_from: int | None = None,

@@ -1,4 +1,5 @@
 """Lookups, the type dimension, published statistics, the request log, and what reaches the scan."""
+import pytest
 import json
 from datetime import date
 
@@ -79,3 +80,48 @@ def test_filters_and_columns_reach_the_scan(spark, notices, tmp_path):
     read = plan[plan.index("ReadSchema"):].split("\n")[0]
     assert "tokens" in read and "fulltext" not in read and "headline" not in read
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
+
+
+def _page(path, text, stamp):
+    import os
+    path.write_text(text)
+    os.utime(path, (stamp, stamp))
+
+
+def _record(title):
+    return ('{"search": {"result_count": 1, "results": [{"dc_identifier": ["Notice Number: 2000-al1"], "title": "%s", '
+            '"date": ["2000-01-01"], "landing_url": "u", "fulltext": "t", "description": "d"}]}}' % title)
+
+
+def test_a_damaged_page_is_not_lost(spark, tmp_path):
+    from noticeboard.sources.pages import read_pages, rejected_pages
+    folder = tmp_path / "year=2000"
+    folder.mkdir()
+    _page(folder / "page-1.json", _record("good"), 1000)
+    _page(folder / "page-2.json", _record("cut short")[:-40], 1001)
+    _page(folder / "page-3.json", '{"search": null}', 1002)
+    with pytest.raises(Exception, match="damaged page"):
+        read_pages(spark, str(tmp_path)).collect()
+    assert [r.title for r in read_pages(spark, str(tmp_path), skip_damaged=True).collect()] == ["good"]
+    assert sorted(r.file[-11:] for r in rejected_pages(spark, str(tmp_path)).collect()) == ["page-2.json", "page-3.json"]
+
+
+def test_the_last_landed_record_wins(spark, tmp_path):
+    from noticeboard.sources.notices import NoticeTable
+    from noticeboard.streaming.ingest import full_reload
+    folder = tmp_path / "pages" / "year=2000"
+    folder.mkdir(parents=True)
+    _page(folder / "page-9.json", _record("OLD"), 1000)
+    _page(folder / "page-10.json", _record("NEW"), 2000)
+    full_reload(spark, str(tmp_path / "pages"), str(tmp_path / "table"))
+    assert [r.title for r in NoticeTable(spark, str(tmp_path / "table")).read().collect()] == ["NEW"]
+
+
+def test_scores_beyond_the_integer_range_are_clamped(spark):
+    from noticeboard.functions.annotations import parse_annotation
+    from pyspark.sql import functions as F
+    answer = ('{"headline": "h", "plain_english": "p", "event_category": "x", "action_taken": "y", '
+              '"affected_parties": [], "significance_score": %s, "significance_reason": "r"}')
+    rows = [(answer % s,) for s in ("99999999999", "1e12", "-99999999999", "55")]
+    got = spark.createDataFrame(rows, "raw string").select(parse_annotation(F.col("raw")).alias("a")).collect()
+    assert [r.a.significance_score for r in got] == [100, 100, 0, 55]
