@@ -162,7 +162,8 @@ def _stars(crowded: DataFrame, rank: DataFrame | None) -> DataFrame:
     if rank is None:
         lead = crowded.groupBy("key").agg(F.min(node).alias("lead"))
     else:
-        lead = crowded.join(rank, "node").groupBy("key").agg(F.max_by(node, F.struct("degree", "node")).alias("lead"))
+        lead = (crowded.join(rank, "node", "left").groupBy("key")
+                .agg(F.max_by(node, F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("lead")))
     return (crowded.join(lead, "key").filter(F.col("node") != F.col("lead.node")).filter(_sizes_fit("n", "lead.n"))
             .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
 
@@ -182,13 +183,13 @@ def _open(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(known.join(mixed_keys, "key", "left_semi"), "open-keys")
 
 
-def _across(keyed: DataFrame) -> DataFrame:
+def _across(keyed: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs of different components under a key that sizes and sketches allow: the nodes outside the key's
     largest component against all. A pair comes out of the first table that it shares, and so only once."""
     sizes = keyed.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("largest"))
     side = lambda df, c: df.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "bands", "sketch")))
-    few = side(keyed.join(largest, "key").filter("label <> largest"), "x").join(
+    few = side(keyed.join(largest, "key").filter("label <> largest").join(sketched, "node"), "x").join(
         keyed.select("key", "table").distinct(), "key")
     apart = sum((F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i))))
                  for i in range(SKETCH_WORDS)), F.lit(0))
@@ -198,7 +199,7 @@ def _across(keyed: DataFrame) -> DataFrame:
         part = [F.slice(f"bands_{c}", F.lit(start), count.cast("int")) for c in "xy"]
         return F.exists(F.zip_with(*part, lambda p, q: p == q), lambda z: z)
     row, column = F.floor(F.col("table") / bands), F.col("table") % bands
-    return (few.join(side(keyed, "y"), "key")
+    return (few.join(side(keyed.join(sketched, "node"), "y"), "key")
             .filter((F.col("label_x") != F.col("label_y"))
                     & F.expr(_sizes_fit("n_x", "n_y")) & (apart <= SKETCH_MOST)
                     & ~met(1, row) & ~met(bands + 1, column))
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         crowd = _open(many, labels)
         sketched = stored(sets.join(crowd.select("node").distinct(), "node").select("node", "members").mapInArrow(
             _sketched, "node long, bands array<long>, sketch array<long>"), "sketches")
-        labels = merged_components(labels, _links(_across(crowd.join(sketched, "node")), sets))
+        labels = merged_components(labels, _links(_across(crowd, sketched), sets))
 
     home = nodes.select("node", "first_id").join(labels, "node")
     lowest = home.groupBy("label").agg(F.min("first_id").alias("lowest"))
