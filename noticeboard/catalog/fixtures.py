@@ -135,7 +135,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.lit("Notice Number: "), year.cast("string"), F.lit("-"),
                       _pick([c.upper() for c in TYPE_CODES], n % 27), n.cast("string"))
     has_number = n % 97 != 0
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         n.alias("doc_id"), year.cast("int").alias("year"),
         F.when(has_number, F.array(F.concat(F.lit("Issue Number: "), n.cast("string")), number))
         .alias("dc_identifier"),

@@ -501,9 +501,7 @@ ORACLE: dict[str, str] = {
     SELECT run_id, id, min(step) AS first_step FROM citations GROUP BY run_id, id""",
 
     "stream_window_hits": f"""WITH {_LOG}
-    SELECT strftime(ts, '%Y-%m-%d %H') AS hour, ip, count(*) AS hits FROM log
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE
-    GROUP BY ALL""",
+    SELECT strftime(ts, '%Y-%m-%d %H') AS hour, ip, count(*) AS hits FROM log GROUP BY ALL""",
 
     "stream_rate_decisions": _decisions(None).replace("%Y-%m-%d %H", "%Y-%m-%d %H:%M"),
 

@@ -414,8 +414,9 @@ def routed_search(spark, sf):
 @query
 def search_responses(spark, sf):
     rows, asked = _doc_vectors(spark, sf), X.requests(spark, sf)
-    found = Q.search(rows, asked, longest_word_parser)
-    return Q.responses(asked, found, longest_word_parser).select(
+    sentences = Q.parsed_sentences(asked, longest_word_parser)
+    found = Q.search(rows, asked, sentences=sentences)
+    return Q.responses(asked, found, sentences=sentences).select(
         "query_id", "route", F.array_join("parsed.keywords", "|").alias("keywords"), "count")
 
 
@@ -586,30 +587,46 @@ def first_citations(spark, sf):
 
 # ---- streams ----
 
-def _log_stream(spark, sf):
-    """The events table as a file stream."""
-    schema = table(spark, sf, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-            .select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                    F.col("user_id").cast("string").alias("ip"), F.col("event_type").alias("route"),
-                    "props"))
+def _log_stream(spark, sf, path=None):
+    """The events table, or its parts landed under a path, as a file stream."""
+    source = spark.readStream.schema(table(spark, sf, "events").schema)
+    files = (source.option("recursiveFileLookup", "true").parquet(path) if path
+             else source.option("pathGlobFilter", "events.parquet").parquet(sf))
+    return files.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                        F.col("user_id").cast("string").alias("ip"), F.col("event_type").alias("route"),
+                        "props")
+
+
+LANDINGS = 3
+
+
+def _by_landing(spark, sf, start):
+    """Lands the events by time in LANDINGS parts; the stream that `start` makes runs after each of them, and
+    takes up its state from the run before."""
+    events, path = table(spark, sf, "events"), work_dir(spark, "landed-events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    part = F.coalesce(F.floor((at - F.lit(first)) * LANDINGS / (F.lit(last) - F.lit(first) + 1)), F.lit(0))
+    for i in range(LANDINGS):
+        events.filter(part == i).write.parquet(f"{path}/part-{i}")
+        start(_log_stream(spark, sf, path)).awaitTermination()
 
 
 @query
 def stream_window_hits(spark, sf):
-    """Hourly counts of the stream; the watermark closes every window before the last event."""
+    """Hourly counts of the stream over several runs, the windows still open at the end included."""
     out, check = work_dir(spark, "hits"), work_dir(spark, "hits-checkpoint")
-    counts = M.stream_window_hits(_log_stream(spark, sf), "1 hour", "10 minutes")
-    (counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(counts.schema).parquet(out).select(
+    _by_landing(spark, sf, lambda log: M.write_window_hits(
+        M.stream_window_hits(log, "1 hour", "10 minutes"), out, check))
+    return M.read_window_hits(spark, out).select(
         F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "ip", "hits")
 
 
 @query
 def stream_rate_decisions(spark, sf):
-    limiter = M.RateLimiter(spark, work_dir(spark, "limits"), 1, 2)
-    limiter.start(_log_stream(spark, sf), work_dir(spark, "limits-checkpoint")).awaitTermination()
+    """Verdicts over several micro-batches, counters carried from one to the next."""
+    limiter, check = M.RateLimiter(spark, work_dir(spark, "limits"), 1, 2), work_dir(spark, "limits-checkpoint")
+    _by_landing(spark, sf, lambda log: limiter.start(log, check))
     return limiter.decisions().select(
         "event_id", F.col("status").cast("long").alias("status"), "reason")
 

@@ -59,9 +59,16 @@ def clamp_score(value: Column) -> Column:
         F.when(score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), score))))
 
 
+def _strings(value: Column, key: str) -> Column:
+    """The top-level strings of a list field, in order; null where the field is no list."""
+    items = F.try_variant_get(value, f"$.{key}", "array<variant>")
+    return F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"),
+                       lambda x: F.try_variant_get(x, "$", "string"))
+
+
 def parties(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$.affected_parties", "array<string>"),
-                      F.array().cast("array<string>"))
+    """Names only: numbers, objects and nulls of the list name nobody and must not link notices."""
+    return F.coalesce(_strings(value, "affected_parties"), F.array().cast("array<string>"))
 
 
 def parse_annotation(raw: Column) -> Column:
@@ -84,9 +91,7 @@ def shape_parsed(raw: Column, query: Column) -> Column:
     """Query-parser answer -> what the search relies on. A failed parse means no filters."""
     value = answer_object(raw)
     rewritten = F.nullif(_string_field(value, "semantic_query"), F.lit(""))
-    items = F.try_variant_get(value, "$.keywords", "array<variant>")
-    strings = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"),
-                          lambda x: F.try_variant_get(x, "$", "string"))
+    strings = _strings(value, "keywords")
     return F.struct(
         python_strip(F.coalesce(rewritten, query)).alias("semantic_query"),
         enum_or_null(_string_field(value, "event_category"), EVENT_CATEGORIES).alias("event_category"),

@@ -134,11 +134,18 @@ def with_query_vectors(queries: DataFrame, text: str, embedder) -> DataFrame:
     return queries.join(settled(vectors, "query-vectors"), text)
 
 
-def search(notices: DataFrame, requests: DataFrame, parser=None, embedder=None) -> DataFrame:
+def parsed_sentences(requests: DataFrame, parser=None) -> DataFrame:
+    """The sentences among the requests with `parsed`. The parser's answers are stored, so a table made
+    once and given to both `search` and `responses` asks for each text once and shows what was used."""
+    return parse_queries(requests.filter(is_sentence(F.col("q"))), parser)
+
+
+def search(notices: DataFrame, requests: DataFrame, parser=None, embedder=None,
+           sentences: DataFrame | None = None) -> DataFrame:
     """Routed search: short queries are phrases, sentences are parsed, embedded and matched by
-    meaning. Result rows carry the route; summary() counts them per query."""
+    meaning. Result rows carry the route; responses() counts them per query."""
     keyword = requests.filter(~is_sentence(F.col("q")))
-    sentences = parse_queries(requests.filter(is_sentence(F.col("q"))), parser)
+    sentences = parsed_sentences(requests, parser) if sentences is None else sentences
     merged = (sentences.withColumn("event_category", merge_filter(
                   F.col("event_category"), F.col("parsed.event_category")))
               .withColumn("action_taken", merge_filter(
@@ -150,15 +157,17 @@ def search(notices: DataFrame, requests: DataFrame, parser=None, embedder=None)
             .unionByName(semantic.withColumn("route", F.lit("semantic"))))
 
 
-def responses(requests: DataFrame, results: DataFrame, parser=None) -> DataFrame:
+def responses(requests: DataFrame, results: DataFrame, parser=None,
+              sentences: DataFrame | None = None) -> DataFrame:
     """One row per request: route, what was parsed (sentences only) and how many rows answered."""
     counts = results.groupBy("query_id").agg(F.count("*").alias("count"))
-    routed = parse_queries(requests.select("query_id", "q"), parser)
-    sentence = is_sentence(F.col("q"))
+    sentences = parsed_sentences(requests, parser) if sentences is None else sentences
+    short = requests.filter(~F.coalesce(is_sentence(F.col("q")), F.lit(False)))
+    routed = (short.select("query_id", F.lit("keyword").alias("route"))
+              .unionByName(sentences.select("query_id", F.lit("semantic").alias("route"), "parsed"),
+                           allowMissingColumns=True))
     return routed.join(counts, "query_id", "left").select(
-        "query_id", F.when(sentence, F.lit("semantic")).otherwise(F.lit("keyword")).alias("route"),
-        F.when(sentence, F.col("parsed")).alias("parsed"),
-        F.coalesce("count", F.lit(0)).alias("count"))
+        "query_id", "route", "parsed", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def scan(notices: DataFrame, requests: DataFrame, embedder=None) -> DataFrame:

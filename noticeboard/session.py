@@ -30,9 +30,15 @@ def _local_root() -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder. Only where the session names none
-    (local tests) it is a temporary folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    """A fresh folder under the cluster's shared checkpoint folder: the session's setting, else the
+    context's. Only a local session that names none gets a temporary folder of this machine; on a
+    cluster that is an error, because executors would write to disks of their own."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -20,13 +20,31 @@ def stream_window_hits(log: DataFrame, width: str = "1 minute", delay: str = "1
                          *(["ip"] if by_ip else []), "hits")
 
 
+def write_window_hits(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Stores the counts of every window, the ones still open included: each micro-batch writes the counts
+    it changed as one folder, which a replay replaces. Rows later than the watermark's delay are left
+    out by the engine, which counts them (`numRowsDroppedByWatermark` of the query's progress)."""
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+
+    return (counts.writeStream.outputMode("update").foreachBatch(store)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_window_hits(spark: SparkSession, path: str) -> DataFrame:
+    """The newest count of each window; counts only grow, so it is the largest."""
+    stored = spark.read.parquet(path).drop("batch")
+    return stored.groupBy(*[c for c in stored.columns if c != "hits"]).agg(F.max("hits").alias("hits"))
+
+
 class RateLimiter:
     """Per-address minute and day limits over micro-batches.
 
     Counters are rows keyed by (ip, window), kept as one folder per micro-batch; batch n reads only
     folder n-1 and replaces folder n, so a replay gives the same verdicts. Inside a batch the same
     first-n cuts as in the batch job apply, so a hot address is trimmed in the map tasks.
-    Counters of days before the newest day seen are dropped.
+    Counters older than `keep_days` before the newest day of earlier batches are dropped. A request of
+    such a day can no longer be judged, so it is refused: reason `late`, status 429, not counted.
     """
     COUNTERS = "kind string, ip string, window string, hits bigint"
 
@@ -56,15 +74,17 @@ class RateLimiter:
 
     def run_batch(self, log: DataFrame, batch: int) -> None:
         counters = self._counters(batch)
+        horizon = counters.filter("kind = 'horizon'").agg(F.max("window")).first()[0]
         log = log.persist()
-        hits = log.select("event_id", "ip", "ts", utc_minute(F.col("ts")).alias("minute"),
+        late = F.coalesce(utc_day(F.col("ts")) < F.lit(horizon), F.lit(False))
+        hits = log.filter(~late).select("event_id", "ip", "ts", utc_minute(F.col("ts")).alias("minute"),
                           utc_day(F.col("ts")).alias("day"))
         minute_ok = self._ranked(hits, counters, "minute", "minute", self.per_minute)
         day_ok = self._ranked(minute_ok, counters, "day", "day", self.per_day)
         verdicts = (minute_ok.select("event_id")
                     .join(day_ok.select("event_id", F.lit("ok").alias("reason")), "event_id", "left")
                     .withColumn("reason", F.coalesce("reason", F.lit("ip_day"))))
-        reason = F.coalesce("reason", F.lit("ip_minute"))
+        reason = F.when(late, F.lit("late")).otherwise(F.coalesce("reason", F.lit("ip_minute")))
         (log.join(verdicts, "event_id", "left").withColumn("reason", reason)
          .withColumn("status", F.when(F.col("reason") == "ok", F.lit(200)).otherwise(F.lit(429)))
          .write.mode("overwrite").parquet(self._path("decisions", batch)))
@@ -78,8 +98,10 @@ class RateLimiter:
                   .groupBy("kind", "ip", "window").agg(F.sum("hits").alias("hits")))
         newest = log.agg(F.max(F.to_date("ts"))).first()[0]
         if newest is not None:
-            oldest_kept = (newest - timedelta(days=self.keep_days)).isoformat()
-            merged = merged.filter(F.substring("window", 1, 10) >= oldest_kept)
+            oldest_kept = max(horizon or "", (newest - timedelta(days=self.keep_days)).isoformat())
+            line = self.spark.createDataFrame([("horizon", "", oldest_kept, 0)], self.COUNTERS)
+            merged = (merged.filter((F.col("kind") != "horizon")
+                                    & (F.substring("window", 1, 10) >= oldest_kept)).unionByName(line))
         merged.write.mode("overwrite").parquet(self._path("counters", batch))
         log.unpersist()
 

@@ -136,6 +136,11 @@ def test_answer_fields(spark):
             got["affected_parties"], got["significance_reason"]) == ("h", "", "land", "other", [], "")
 
 
+def test_only_strings_name_parties(spark):
+    got = annotation(spark, json.dumps({"affected_parties": [1, {"a": 1}, "B", None, ["C"], "D"]}))
+    assert got["affected_parties"] == ["B", "D"]
+
+
 def test_parsed_query_shape(spark):
     raw = json.dumps({"semantic_query": "", "event_category": "other thing", "action_taken": "rule_made",
                       "keywords": ["a", 1, None, "b", "c", "d", "e"]})

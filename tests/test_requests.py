@@ -59,3 +59,28 @@ def test_stream_decisions_over_micro_batches(spark, tmp_path):
             limiter.run_batch(frame(spark, rows[a:b]), i)
     got = {r["event_id"]: r["status"] for r in limiter.decisions().collect()}
     assert got == simulate(rows, 1, 20, None)
+
+
+def test_requests_older_than_the_counters_are_refused_and_told_apart(spark, tmp_path):
+    limiter = RateLimiter(spark, str(tmp_path / "limits"), 1, 20)
+    batches = [[(0, "a", "2024-01-01 10:00:01"), (1, "a", "2024-01-01 10:00:02")],
+               [(2, "a", "2024-01-05 09:00:00"), (3, "a", "2024-01-01 10:00:03")],
+               [(4, "a", "2024-01-01 10:00:04"), (5, "b", "2024-01-02 00:00:00"), (6, "a", "2024-01-04 00:00:00")]]
+    for i, rows in enumerate(batches):
+        limiter.run_batch(frame(spark, rows), i)
+    got = {r["event_id"]: (r["status"], r["reason"]) for r in limiter.decisions().collect()}
+    assert got == {0: (200, "ok"), 1: (429, "ip_minute"), 2: (200, "ok"), 3: (429, "ip_minute"),
+                   4: (429, "late"), 5: (429, "late"), 6: (200, "ok")}
+
+
+def test_window_counts_hold_open_windows_and_grow_over_runs(spark, tmp_path):
+    from noticeboard.streaming.limits import read_window_hits, stream_window_hits, write_window_hits
+    landed, out, check = (str(tmp_path / n) for n in ("landed", "out", "check"))
+    parts = [[(0, "a", "2024-01-01 10:00:01"), (1, "b", "2024-01-01 10:20:00")],
+             [(2, "a", "2024-01-01 10:30:00"), (3, "a", "2024-01-01 11:00:00")]]
+    for rows in parts:
+        frame(spark, rows).write.mode("append").parquet(landed)
+        log = spark.readStream.schema("event_id bigint, ip string, ts timestamp").parquet(landed)
+        write_window_hits(stream_window_hits(log, "1 hour", "1 hour"), out, check).awaitTermination()
+    got = {(r["window_start"].hour, r["ip"]): r["hits"] for r in read_window_hits(spark, out).collect()}
+    assert got == {(10, "a"): 2, (10, "b"): 1, (11, "a"): 1}

@@ -154,6 +154,28 @@ def test_each_query_text_is_parsed_once(spark, tmp_path):
     assert sorted(calls.read_text().split()) == ["other", "same"]
 
 
+def test_search_and_responses_ask_once_and_for_sentences_only(spark, tmp_path, notices):
+    from noticeboard.plans.search import parsed_sentences, responses, search
+    calls, long = tmp_path / "calls", "which land notices were published about the old harbour road"
+
+    def parser(text):
+        with calls.open("a") as f:
+            f.write(text + "\n")
+        return '{"keywords": ["harbour"]}'
+
+    asked = spark.createDataFrame([(1, "harbour", 5), (2, long, 5), (3, long, 5)], "query_id int, q string, `limit` int")
+    from noticeboard.schema import FILTER_COLUMNS
+    for column in FILTER_COLUMNS:
+        kind = "date" if "date" in column else "int" if "sig" in column else "string"
+        asked = asked.withColumn(column, F.lit(None).cast(kind))
+    rows = notices([{"id": "a", "title": "Harbour", "fulltext": "the harbour road", "embedding": None}])
+    sentences = parsed_sentences(asked, parser)
+    found = search(rows, asked, sentences=sentences)
+    got = {r["query_id"]: (r["route"], r["count"]) for r in responses(asked, found, sentences=sentences).collect()}
+    assert got == {1: ("keyword", 1), 2: ("semantic", 0), 3: ("semantic", 0)}
+    assert calls.read_text().splitlines() == [long]
+
+
 def test_update_stops_at_the_first_failure(spark, tmp_path):
     from datetime import date
     land(tmp_path / "pages", "0001.json", [record(1)])
