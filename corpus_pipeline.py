@@ -10,7 +10,7 @@ from noticeboard.llm.op3_sentencepiece import encode
 from noticeboard.llm.op5_spans import drop_repeated_spans
 from noticeboard.llm.op8_decontaminate import contaminated
 from noticeboard.llm.op9_quality import judged
-from noticeboard.llm.tables import stored
+from noticeboard.llm.tables import spared, stored
 
 # A classifier, an LSH search, bounded alignment and a tokeniser: beyond SQL, so tested against brute force.
 ORACLE_SQL: str | None = None
@@ -19,26 +19,29 @@ ORACLE_SQL: str | None = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judged(docs, labels).filter("_keep").select(*docs.columns)
+    plain, restored = spared(docs, {"doc_id", "text", "source", "lang"})
+    return restored(judged(plain, labels).filter("_keep"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest id, with all rows of that id. Null ids count
     as one id, which stays where one of its rows has no group with an id."""
     keep = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    plain, restored = spared(docs, {"doc_id", "text"})
+    return restored(plain.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document holds; documents that were nothing else go."""
-    out = drop_repeated_spans(docs)
-    return out.filter("_n_removed = 0 or _n_removed < _n_sentences").select(*docs.columns)
+    plain, restored = spared(docs, {"doc_id", "text", "n_chars"})
+    return restored(drop_repeated_spans(plain).filter("_n_removed = 0 or _n_removed < _n_sentences"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter("size(_items) = 0").select(*docs.columns)
+    plain, restored = spared(docs, {"text"})
+    found = contaminated(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return restored(found.filter("size(_items) = 0"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeboard.llm.blocks import Words, segment_sums, text_blocks, texts_of
-from noticeboard.llm.tables import stored
+from noticeboard.llm.tables import small_side, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = r"[#*$%&|<>]"
@@ -128,7 +128,7 @@ def _beside(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns of a row per group, where null keys meet."""
     right = groups.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in groups.columns if c not in keys))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(F.broadcast(right), on, "left").drop(*(f"_{k}" for k in keys))
+    return df.join(small_side(stored(right, "bands")), on, "left").drop(*(f"_{k}" for k in keys))
 
 
 def _band(measures: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -140,7 +140,8 @@ def _band(measures: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def judged(measures: DataFrame) -> DataFrame:
     """Stored measures with ratios, bands, base_failed and kept. Bands are a row per language (and length octave),
-    so they are small whatever the number of texts."""
+    so they are few as long as the
+    language column holds languages; where it doesn't, their counted number makes the join shuffle."""
     m = with_ratios(measures)
     out = m
     for keys, value in ((["lang"], "chars_per_token"), (["lang"], "byte_share"), (["lang", "octave"], "entropy")):

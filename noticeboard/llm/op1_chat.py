@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, in column expressions only.
 
 A turn holds parts (kind text, image, audio or document). A visit over the parts flattens them, in order, into one
-string: texts are escaped, attachments become placeholders, and each attachment is recorded with its reference
+string: texts are escaped (texts side by side as one, so that no control string arises between them), attachments become placeholders, and each attachment is recorded with its reference
 and the number of tokens that its placeholder stands for. Turns are framed by control strings; a control string
 inside a text or role gets a backslash after its first character (one more if it has some already), which
 unescape() takes out again, so every text can be read back exactly.
@@ -43,13 +43,18 @@ def text_part(text: Column) -> Column:
                             nothing("double").alias("seconds"), nothing("int").alias("pages")))
 
 
-def visit(part: Column) -> Column:
-    """A part as it stands in the formatted text."""
-    kind = part["kind"]
-    out = F.when(kind == "text", escape(F.coalesce(part["text"], F.lit(""))))
-    for name, mark in PLACEHOLDERS.items():
-        out = out.when(kind == name, F.lit(mark))
-    return out.otherwise(F.lit(""))
+def visited(parts: Column) -> Column:
+    """Parts as they stand in the formatted text: texts gather until an attachment or the end, then are escaped."""
+    def state(done: Column, text: Column) -> Column:
+        return F.struct(done.alias("done"), text.alias("text"))
+
+    def visit(s: Column, part: Column) -> Column:
+        kind = part["kind"]
+        out = F.when(kind == "text", state(s["done"], F.concat(s["text"], F.coalesce(part["text"], F.lit("")))))
+        for name, mark in PLACEHOLDERS.items():
+            out = out.when(kind == name, state(F.concat(s["done"], escape(s["text"]), F.lit(mark)), F.lit("")))
+        return out.otherwise(s)
+    return F.aggregate(parts, state(F.lit(""), F.lit("")), visit, lambda s: F.concat(s["done"], escape(s["text"])))
 
 
 def expanded_tokens(part: Column) -> Column:
@@ -70,7 +75,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
     role = F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(START), escape(role), F.lit(SEP))
-    body = F.concat_ws("", F.transform(parts, visit))
+    body = visited(parts)
     attached = F.filter(F.transform(parts, lambda p, i: F.struct(
         i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))),
         lambda a: a["kind"].isin(*PLACEHOLDERS))

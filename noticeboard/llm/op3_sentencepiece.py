@@ -8,7 +8,8 @@ Piece scores are the model's own, added up; equal scores prefer the longer last
 fall back to their bytes. A mark character that the text itself holds is encoded by its bytes, so every text
 decodes to itself.
 
-Nulls and ties: null text has null ids, an empty text no ids; extra columns and repeated rows pass through.
+Nulls and ties: null text has null ids, an empty text no ids; extra columns and repeated rows pass through, but a
+column named like an output is replaced.
 """
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from noticeboard.llm.blocks import text_blocks
+from noticeboard.llm.tables import spared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -163,18 +165,21 @@ def decode_ids(ids: pa.ListArray, model: str = MODEL) -> pa.Array:
 
 
 def encode(docs: DataFrame, column: str = "text", model: str = MODEL, out: str = "ids") -> DataFrame:
-    """docs with the token ids of a text column."""
-    source = docs.withColumn(column, docs[column].cast("string"))
+    """docs with the token ids of a text column; a column that is called `out` already is replaced."""
+    plain, restored = spared(docs, {column})
+    source = plain.withColumn(column, plain[column].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, column, BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays([*block.columns, encode_texts(block.column(column), model)],
                                              [*block.schema.names, out])
-    return source.mapInArrow(run, source.withColumn(out, _ids()).schema)
+    return restored(source.mapInArrow(run, source.withColumn(out, _ids()).schema), out)
 
 
 def decode(docs: DataFrame, column: str = "ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
-    """docs with the text that a column of token ids stands for."""
+    """docs with the text that a column of token ids stands for; a column that is called `out` already is
+    replaced."""
+    plain, restored = spared(docs, {column})
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,7 @@ def decode(docs: DataFrame, column: str = "ids", model: str = MODEL, out: str =
                 part = batch.slice(start, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, decode_ids(part.column(column), model)],
                                                  [*part.schema.names, out])
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("string")).schema)
+    return restored(plain.mapInArrow(run, plain.withColumn(out, F.lit(None).cast("string")).schema), out)
 
 
 def _ids():

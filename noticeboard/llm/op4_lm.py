@@ -249,9 +249,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             ask_row, ask_word = key // max(len(names), 1), names[key % max(len(names), 1)] if len(names) else key
             bucket = np.mod(ask_word, buckets)
             order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            packed = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            filled = [i for i, p in enumerate(packed) if len(p)]
+            # Only buckets that the block asks: their number is bounded by its words, all buckets' is not.
+            filled, cut = np.unique(bucket[order], return_index=True)
+            packed = np.split(order, cut[1:]) if len(filled) else []
             name = int(np.random.default_rng().integers(0, 2 ** 63 - 1))
             apart = pa.array(held_out(block.column("doc_id")))
             rows = block.num_rows
@@ -259,13 +259,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 [pa.array([name] * rows), pa.array(np.arange(rows)), block.column("doc_id"), apart,
                  pa.array(np.diff(starts)), pa.array(n_known), pa.array(plain), pa.array(neural),
                  pa.nulls(rows, pa.int64()), *(pa.nulls(rows, pa.binary()) for _ in range(3))], PACKED)
-            if filled:
+            if len(filled):
                 n = len(filled)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * n), pa.nulls(n, pa.int64()), pa.nulls(n, block.column("doc_id").type),
                      pa.nulls(n, pa.bool_()), *(pa.nulls(n, pa.int64()) for _ in range(2)),
-                     *(pa.nulls(n, pa.float64()) for _ in range(2)), pa.array(np.array(filled, np.int64)),
-                     *(pa.array([part[packed[i]].astype(kind).tobytes() for i in filled], pa.binary())
+                     *(pa.nulls(n, pa.float64()) for _ in range(2)), pa.array(filled.astype(np.int64)),
+                     *(pa.array([part[p].astype(kind).tobytes() for p in packed], pa.binary())
                        for part, kind in ((ask_row, np.int32), (ask_word, np.int64), (times, np.int32)))], PACKED)
 
     packed = stored(source.mapInArrow(score, f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, "

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from noticeboard.llm.blocks import mixed, text_blocks
-from noticeboard.llm.tables import stored
+from noticeboard.llm.tables import spared, stored
 
 MIN_WORDS = 25
 LONG_WORDS = 50
@@ -131,8 +131,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any others) with repeated passages cut out of text, and two more columns:
-    _n_sentences before the cut and _n_removed."""
-    source = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
+    _n_sentences before the cut and _n_removed (columns of these two names are replaced)."""
+    plain, restored = spared(docs, {"doc_id", "text", "n_chars"})
+    source = plain.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
                                "text": F.col("text").cast("string")})
     rows = source.select("_id", "text").mapInArrow(_span_rows, "span long, _id long")
     owners = stored(rows, "spans")
@@ -147,4 +148,4 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(kind))
                              .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "_n_sentences", "_n_removed")
+    return restored(out, "_n_sentences", "_n_removed")

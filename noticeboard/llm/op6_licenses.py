@@ -17,7 +17,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noticeboard.llm.tables import small_side, stored
+from noticeboard.llm.tables import small_side, spared, stored
 
 CUE = r"(?i)licen[cs]e|copyright|rights reserved|public domain|spdx-"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
@@ -87,9 +87,11 @@ def named_lines(lines: DataFrame) -> DataFrame:
 
 
 def scan_licenses(files: DataFrame) -> DataFrame:
-    """files (path, text, any others) with _license, _cosine and _how: header, inherited or null."""
+    """files (path, text, any others) with _license, _cosine and _how: header, inherited or null. Columns of these
+    three names are replaced."""
+    plain, restored = spared(files, {"path", "text"})
     path = F.col("path").cast("string")
-    own = files.withColumns({"_lines": notices(F.col("text").cast("string")),
+    own = plain.withColumns({"_lines": notices(F.col("text").cast("string")),
                              "_dir": F.regexp_replace(path, r"/?[^/]*$", "")})
     flat = own.filter("size(_lines) > 0").select(F.explode("_lines").alias("line")).distinct()
     # Rows of distinct lines, so a notice that a third of all files bear is scored once.
@@ -113,5 +115,5 @@ def scan_licenses(files: DataFrame) -> DataFrame:
                .agg(F.max_by("license", "depth").alias("_up"), F.max_by("cosine", "depth").alias("_up_cos")))
     out = scanned.join(small_side(stored(nearest, "nearest")), "_dir", "left")
     how = F.when(F.col("_own").isNotNull(), "header").when(F.col("_up").isNotNull(), "inherited")
-    return out.select(*files.columns, F.coalesce("_own", "_up").alias("_license"),
-                      F.coalesce("_cos", "_up_cos").alias("_cosine"), how.alias("_how"))
+    return restored(out.withColumns({"_license": F.coalesce("_own", "_up"), "_cosine": F.coalesce("_cos", "_up_cos"),
+                                     "_how": how}), "_license", "_cosine", "_how")

@@ -5,7 +5,8 @@ the labelled table; that table is bounded by LABELLED_ROWS, the weights by BUCKE
 row, without a shuffle.
 
 Nulls and ties: a null url, or one without `://`, has empty host and path and gets the model's bias; equal urls get
-equal verdicts; of rules that fit, the longest wins (of equals, the first listed); extra columns pass through.
+equal verdicts; of rules that fit, the longest wins (of equals, the first listed); extra columns pass through, but
+those named like an output are replaced.
 """
 from __future__ import annotations
 

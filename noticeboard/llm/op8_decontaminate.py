@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from noticeboard.llm.blocks import text_blocks, texts_of
+from noticeboard.llm.tables import spared
 
 Q = 10
 WINDOW = 100
@@ -151,11 +152,13 @@ def aligned(pattern: bytes, region: bytes, budget: int) -> bool:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with `_items`, the sorted item_ids of the benchmark items found in each text (empty: clean)."""
+    """docs with `_items`, the sorted item_ids of the benchmark items found in each text (empty: clean);
+    a column of that name is replaced."""
+    plain, restored = spared(docs, {"text"})
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-(total[0] + 64 * total[1]) // BLOCK_BYTES))
     name = "_items"
-    out = docs.withColumns({"text": F.col("text").cast("string"), name: F.array().cast("array<long>")})
+    out = plain.withColumns({"text": F.col("text").cast("string"), name: F.array().cast("array<long>")})
     for block in range(blocks):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = [(r[0], r[1]) for r in part.filter("item_id is not null").select(
@@ -170,4 +173,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          for raw, old in zip(normal_texts(texts_of(batch)), before, strict=True)]
                 yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(found, pa.list_(pa.int64())))
         out = out.mapInArrow(scan, out.schema)
-    return out.select(*docs.columns, name)
+    return restored(out, name)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeboard.llm.blocks import Words, segment_sums, text_blocks, texts_of
 from noticeboard.llm.shingles import shingle_sets
-from noticeboard.llm.tables import small_side, stored
+from noticeboard.llm.tables import small_side, spared, stored
 
 CLASSES = ["good", "junk", "toxic"]
 SAMPLE_ROWS = 20_000         # labelled rows that the document model is fitted on, at most
@@ -162,9 +162,11 @@ def site_priors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[f
 
 
 def judged(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with _evidence (log weights by class of the text), _p_good and _keep."""
+    """docs with _evidence (log weights by class of the text), _p_good and _keep; columns of these names are
+    replaced."""
+    plain, restored = spared(docs, {"doc_id", "text", "source", "lang"})
     labelled = labels.select("doc_id", label_class().alias("class")).filter("class is not null and doc_id is not null")
-    source = docs.withColumn("text", F.col("text").cast("string"))
+    source = plain.withColumn("text", F.col("text").cast("string"))
     weights = fit_words(source, labelled, sample_rows)
     priors, overall = site_priors(source, labelled)
     features = np.array(sorted(weights), np.int64)
@@ -200,5 +202,5 @@ def judged(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
             for k, (c, p) in enumerate(zip(CLASSES, overall, strict=True))]
     good = F.lit(1.0) / (1 + F.exp(F.least(F.lit(700.0), logs[1] - logs[0])) + F.exp(F.least(F.lit(700.0), logs[2] - logs[0])))
     kept = F.lit(True) if priors.isEmpty() else good >= 0.5
-    return out.withColumns({"_p_good": good, "_keep": kept}).select(*docs.columns, "_evidence", "_p_good", "_keep")
+    return restored(out.withColumns({"_p_good": good, "_keep": kept}), "_evidence", "_p_good", "_keep")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from noticeboard.llm import op1_chat, op3_sentencepiece as op3, op4_lm, op5_spans, op6_licenses, op7_urls
 from noticeboard.llm import op8_decontaminate as op8, op9_quality as op9, op10_fertility as op10
 from noticeboard.llm.components import connected_components
+from noticeboard.llm.op2_minhash import near_duplicates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,6 +51,17 @@ def test_chat_round_trip_and_attachments(spark):
     assert op1_chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_no_control_string_arises_between_texts(spark):
+    """Texts side by side are escaped as one; text and attachment are not."""
+    part = lambda kind, text=None: (kind, text, None, None, None, None, None)
+    split = [part("text", "a <"), part("text", "|turn|>b"), part("odd"), part("text", None), part("text", "[INST"), part("text", "]"),
+             part("image"), part("text", "</"), part("text", "s>")]
+    df = spark.createDataFrame([(1, 0, "user", split)], f"conv_id long, turn int, role string, parts array<{op1_chat.PART}>")
+    row = op1_chat.format_chats(df).withColumn("seen", op1_chat.read_back(F.col("formatted"))).first()
+    assert [(t.role, t.text) for t in row.seen] == [("user", "a <|turn|>b[INST]<|image|></s>")]
+    assert row.formatted.count("<|turn|>") == 1 and "[INST]" not in row.formatted and "</s>" not in row.formatted
+
+
 def test_escape_is_reversible(spark):
     rng = random.Random(5)
     bits = ["<", "[", "\\", "/s>", "INST]", "|end|>", "/INST]", "x", "<|turn|>", "</s>"]
@@ -290,6 +302,49 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 30: 30, 31: 30}
 
 
+CLASHING = ["_id", "_elsewhere", "span", "owner", "_n_sentences", "_n_removed", "_items", "_evidence", "_p_good", "_keep",
+            "_s", "_l", "_good", "class", "good", "_kept", "kept", "node", "ids", "decoded", "_lines", "_dir", "_key",
+            "_own", "_up", "_license", "_how", "_cosine", "_host", "_rule", "block", "row", "a.b", "_passed_through_1"]
+
+
+def test_clashing_names(spark):
+    """Columns called like anything inside an operator change no result; those called like an output are replaced."""
+    rng = random.Random(3)
+    texts = [*ODD, *(prose(rng, 90) for _ in range(10))]
+    plain = docs(spark, [*texts, *texts[-3:]])
+    labels = spark.createDataFrame([(i, i % 2, 0, 7, 8) for i in range(20)], "doc_id long, quality int, toxic int, class int, good int")
+    bench = spark.createDataFrame([(1, texts[-1][:200], 5)], "item_id long, text string, code int")
+    wide = plain.withColumns({f"`{c}`" if "." in c else c: F.lit(f"own {c}") for c in CLASHING if "." not in c})
+    wide = wide.select("*", F.lit("dotted").alias("a.b"))
+    paths = lambda df: df.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    runs = {
+        "op3": lambda d: op3.decode(op3.encode(d)), "op5": op5_spans.drop_repeated_spans,
+        "op6": lambda d: op6_licenses.scan_licenses(paths(d)), "op7": lambda d: op7_urls.judge_urls(d.withColumn("url", F.col("text"))),
+        "op8": lambda d: op8.contaminated(d, bench), "op9": lambda d: op9.judged(d, labels),
+        "op2": near_duplicates, "op4": op4_lm.lm_scores, "op10": op10.quality_rules}
+    for name, run in runs.items():
+        want, got = run(plain), run(wide)
+        assert len(set(got.columns)) == len(got.columns), name
+        assert {r[0] for r in got.select(F.col("`a.b`")).distinct().collect()} == {"dotted"} if "a.b" in got.columns else True
+        pick = [F.col(c).cast("string") for c in want.columns]
+        assert sorted(map(str, got.select(pick).collect())) == sorted(map(str, want.select(pick).collect())), name
+
+
+def test_pipeline_stages_pass_clashing_columns(spark):
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    raw = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    wide = raw.withColumns({c: F.lit(f"own {c}") for c in STAGE_NAMES})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns
+        first = out.select(*STAGE_NAMES).distinct().collect()
+        assert [tuple(r) for r in first] == [tuple(f"own {c}" for c in STAGE_NAMES)]
+
+
+STAGE_NAMES = [c for c in CLASHING if "." not in c]
+
+
 def test_pipeline_keeps_the_columns(spark):
     import corpus_pipeline
     sf = "/root/testdata/sf0.001"
