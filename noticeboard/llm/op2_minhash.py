@@ -156,15 +156,10 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(full.mapInArrow(_confirmed, "a long, b long"), "links")
 
 
-def _stars(crowded: DataFrame, rank: DataFrame | None) -> DataFrame:
-    """Every node of a crowded key paired with the key's leading node: the smallest, or the best ranked."""
-    node = F.struct("node", "n")
-    if rank is None:
-        lead = crowded.groupBy("key").agg(F.min(node).alias("lead"))
-    else:
-        lead = (crowded.join(rank, "node", "left").groupBy("key")
-                .agg(F.max_by(node, F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("lead")))
-    return (crowded.join(lead, "key").filter(F.col("node") != F.col("lead.node")).filter(_sizes_fit("n", "lead.n"))
+def _stars(keyed: DataFrame, lead: Column) -> DataFrame:
+    """Every node of a key paired with the key's leading node, an aggregate of its rows."""
+    leads = keyed.groupBy("key").agg(lead.alias("lead"))
+    return (keyed.join(leads, "key").filter(F.col("node") != F.col("lead.node")).filter(_sizes_fit("n", "lead.n"))
             .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
 
 
@@ -175,22 +170,29 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return (pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"))
 
 
-def _open(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """The crowded keys whose nodes are in more than one component, with each node's component."""
-    known = crowded.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _open(crowded: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (key, node, n, table, degree) of the crowded keys whose nodes are in more than one component; degree
+    counts a node's links."""
+    degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
+              .agg(F.count("*").alias("degree")))
+    known = (crowded.join(labels.join(degree, "node", "left"), "node", "left")
+             .select("key", "node", "n", "table", F.coalesce("degree", F.lit(0)).alias("degree"),
+                     F.coalesce("label", "node").alias("label")))
+    known = stored(known, "crowded")
     mixed_keys = (known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                   .filter("lo <> hi").select("key"))
-    return stored(known.join(mixed_keys, "key", "left_semi"), "open-keys")
+    return stored(known.join(mixed_keys, "key", "left_semi").drop("label"), "open-keys")
 
 
-def _across(keyed: DataFrame, sketched: DataFrame) -> DataFrame:
+def _across(crowd: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs of different components under a key that sizes and sketches allow: the nodes outside the key's
     largest component against all. A pair comes out of the first table that it shares, and so only once."""
+    keyed = stored(crowd.drop("degree").join(sketched, "node"), "sketched-keys")
     sizes = keyed.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("largest"))
     side = lambda df, c: df.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "bands", "sketch")))
-    few = side(keyed.join(largest, "key").filter("label <> largest").join(sketched, "node"), "x").join(
-        keyed.select("key", "table").distinct(), "key")
+    outside = keyed.join(largest, "key").filter("label <> largest")
+    few = side(outside, "x").join(outside.select("key", "table").distinct(), "key")
     apart = sum((F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i))))
                  for i in range(SKETCH_WORDS)), F.lit(0))
     bands = BANDS[0]
@@ -199,7 +201,7 @@ def _across(keyed: DataFrame, sketched: DataFrame) -> DataFrame:
         part = [F.slice(f"bands_{c}", F.lit(start), count.cast("int")) for c in "xy"]
         return F.exists(F.zip_with(*part, lambda p, q: p == q), lambda z: z)
     row, column = F.floor(F.col("table") / bands), F.col("table") % bands
-    return (few.join(side(keyed.join(sketched, "node"), "y"), "key")
+    return (few.join(side(keyed, "y"), "key")
             .filter((F.col("label_x") != F.col("label_y"))
                     & F.expr(_sizes_fit("n_x", "n_y")) & (apart <= SKETCH_MOST)
                     & ~met(1, row) & ~met(bands + 1, column))
@@ -225,16 +227,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = texts.mapInArrow(_sets, "node long, n long, members binary")
     sets = stored(own.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members")), "sets")
 
-    links = _links(_stars(keyed, None), sets)
+    node = F.struct("node", "n")
+    links = _links(_stars(keyed, F.min(node)), sets)
     labels = star_components(links)
-    degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-              .agg(F.count("*").alias("degree")))
-    more = _apart(_all_pairs(few).union(_stars(many, degree)).distinct(), labels)
-    labels = merged_components(labels, _links(more, sets))
-    if not many.isEmpty():
-        crowd = _open(many, labels)
-        sketched = stored(sets.join(crowd.select("node").distinct(), "node").select("node", "members").mapInArrow(
-            _sketched, "node long, bands array<long>, sketch array<long>"), "sketches")
+    # Under a key of one component there is nothing left to find.
+    crowd = _open(many, labels, links)
+    best = _stars(crowd, F.max_by(node, F.struct("degree", "node")))
+    labels = merged_components(labels, _links(_apart(_all_pairs(few).union(best).distinct(), labels), sets))
+    if not crowd.isEmpty():
+        bits = sets.join(crowd.select("node").distinct(), "node").select("node", "members").mapInArrow(
+            _sketched, "node long, bands array<long>, sketch array<long>")
+        sketched = stored(bits.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "sketches")
         labels = merged_components(labels, _links(_across(crowd, sketched), sets))
 
     home = nodes.select("node", "first_id").join(labels, "node")
