@@ -182,6 +182,43 @@ def test_licences_and_inheritance(spark):
     assert op6_licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_headers_and_licence_bodies(spark):
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    gpl = """Foo Bar, a tool of the Quux company.
+Copyright (C) 2011 Jane Doe
+
+This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version %s of the License, or
+(at your option) any later version."""
+    code = "\n\nint main() { return foo(bar, baz); }\n" * 30
+    commented = lambda text: "".join(f"# {x}\n" for x in text.split("\n")) + code
+    rows = [("a/one.c", "// Copyright 2020 The Foo Authors. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not "
+             "use this file except in compliance with the License." + code, "Apache-2.0"),
+            ("a/two.c", commented("Copyright 2019 Foo GmbH\n\n" + apache), "Apache-2.0"),
+            ("a/three.c", commented(gpl % "3"), "GPL-3.0"), ("a/four.c", "/* " + gpl % "2" + " */" + code, "GPL-2.0"),
+            ("a/five.c", "/* Mozilla Public License Version 2.0 */" + code, "MPL-2.0"),
+            ("a/six.c", "Copyright 2020 MIT researchers" + code, None),
+            ("a/seven.c", "Copyright 2020 Foo. All rights reserved." + code, "Proprietary")]
+    folder = op6_licenses.Path(op6_licenses.__file__).with_name("licenses")
+    for p in sorted(folder.glob("*.txt")):
+        body = p.read_text().replace("Copyright (c)", "Copyright (c) 2024 Foo Bar Ltd, All rights reserved.")
+        rows += [(f"lib/{p.stem}/LICENSE", body, p.stem), (f"lib/{p.stem}/src/x.py", "x = 1", p.stem),
+                 (f"other/{p.stem}.txt", "\r\n".join(body.split("\n")), p.stem)]
+    assert len(rows) > 30
+    df = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
+    got = {r.path: r._license for r in op6_licenses.scan_licenses(df).collect()}
+    assert got == {path: want for path, _, want in rows}
+
+
 # --- 7 urls
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/1?x=1", "http://example.com/en/", "http://a.example.com", "http://xcom/",
