@@ -6,15 +6,19 @@ length in edits. By the q-gram lemma a region within e edits of a window of m by
 m + 1 - q - q * e of its q-grams, all on diagonals at most e apart. Shared q-grams are counted in overlapping
 diagonal bands; bands that meet the bound are verified by banded alignment of the window inside the region.
 
+Items of less than MIN_ITEM bytes allow no edits: they are found as they are, from word border to word border (the
+scripts of UNSPACED set no borders). So a short item that is a common word marks every text that holds the word.
+
 The windows of the benchmark are held by every task, BLOCK_BYTES of item text at a time; a larger benchmark is
 passed over in blocks.
 
-Nulls and ties: null and empty texts or items match nothing; a text with several items lists each once, in
+Nulls and ties: null and blank texts or items match nothing, nor do items without an id; a text with several items lists each once, in
 order; rows of the same id are judged one by one; extra columns are untouched.
 """
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,9 @@ Q = 10
 WINDOW = 100
 EDIT_PERCENT = 7
 MIN_ITEM = 30
+# Han, kana and scripts of south-east Asia, which are written without spaces.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+                      "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 BLOCK_BYTES = 8 << 20
 TABLE_BITS = 22
 
@@ -57,21 +64,97 @@ def grams(data: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) + tail * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def in_word(c: str) -> bool:
+    return c == "_" or (unicodedata.category(c)[0] in "LMN" and not UNSPACED.match(c)) if c else False
+
+
+ASCII_WORD = np.array([k < 128 and in_word(chr(k)) for k in range(256)])
+
+
+class ShortItems:
+    """Items of less than MIN_ITEM bytes, by length of the first bytes that are looked up: 1 to Q."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.items: dict[bytes, list[int]] = {}
+        for item, data in items:
+            self.items.setdefault(data, []).append(item)
+        self.groups = []
+        for n in sorted({min(len(t), Q) for t in self.items}):
+            texts = sorted(t for t in self.items if min(len(t), Q) == n)
+            code = np.concatenate([self.codes(np.frombuffer(t[:n], np.uint8), n) for t in texts])
+            order = np.argsort(code, kind="stable")
+            code, begin, count = np.unique(code[order], return_index=True, return_counts=True)
+            known = np.zeros(1 << TABLE_BITS, bool)
+            known[Windows._slot(code)] = True
+            self.groups.append((n, known, code, [[texts[k] for k in order[b:b + c]] for b, c in zip(begin, count, strict=True)]))
+
+    @staticmethod
+    def codes(data: np.ndarray, n: int) -> np.ndarray:
+        """A 64-bit code of the n bytes at each position."""
+        if n == Q:
+            return grams(data)
+        size = max(0, len(data) - n + 1)
+        out = np.zeros(size, np.uint64)
+        for k in range(n):
+            out = out * np.uint64(257) + data[k:k + size] + np.uint64(1)
+        return out
+
+    def matches(self, raw: bytes, code: np.ndarray) -> set[int]:
+        """Numbers of the items that raw holds between word borders; code is grams(raw)."""
+        data, found = np.frombuffer(raw, np.uint8), set()
+        for n, known, names, texts in self.groups:
+            here = code if n == Q else self.codes(data, n)
+            at = np.flatnonzero(known[Windows._slot(here)])
+            name = np.minimum(np.searchsorted(names, here[at]), len(names) - 1)
+            same = names[name] == here[at]
+            at, name = at[same], name[same]
+            order = np.argsort(name, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(name[order])) + 1) if len(order) else []:
+                for text in texts[name[group[0]]]:
+                    if any(self.bordered(text, raw, k) for k in self.open(text, data, at[group]).tolist()):
+                        found.update(self.items[text])
+        return found
+
+    @staticmethod
+    def open(text: bytes, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The positions where text may stand: within data, and no ASCII word goes on beyond it."""
+        end = at + len(text)
+        at, end = at[end <= len(data)], end[end <= len(data)]
+        good = np.ones(len(at), bool)
+        if ASCII_WORD[text[0]]:
+            good &= (at == 0) | ~ASCII_WORD[data[at - 1]]
+        if ASCII_WORD[text[-1]]:
+            good &= (end == len(data)) | ~ASCII_WORD[data[np.minimum(end, len(data) - 1)]]
+        return at[good]
+
+    @staticmethod
+    def bordered(text: bytes, raw: bytes, at: int) -> bool:
+        end = at + len(text)
+        if raw[at:end] != text:
+            return False
+        own = text.decode("utf-8", "replace")
+        before, after = raw[max(0, at - 4):at].decode("utf-8", "ignore")[-1:], raw[end:end + 4].decode("utf-8", "ignore")[:1]
+        return not (in_word(own[0]) and in_word(before)) and not (in_word(own[-1]) and in_word(after))
+
+
 class Windows:
     """Windows of a block of benchmark items and the index of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.item: list[int] = []
         self.text: list[bytes] = []
+        short: list[tuple[int, bytes]] = []
         for item, text in items:
             data = normal(text)
             if len(data) < MIN_ITEM:
+                short += [(item, data)] if data else []
                 continue
             count = max(1, -(-(len(data) - WINDOW) // (WINDOW // 2)) + 1)
             for k in range(count):
                 start = min(k * (WINDOW // 2), max(0, len(data) - WINDOW))
                 self.item.append(item)
                 self.text.append(data[start:start + WINDOW])
+        self.short = ShortItems(short)
         self.budget = np.array([len(t) * EDIT_PERCENT // 100 for t in self.text], np.int64)
         size = np.array([len(t) for t in self.text], np.int64)
         self.bound = np.maximum(1, size + 1 - Q - Q * self.budget)
@@ -90,9 +173,9 @@ class Windows:
     def _slot(code: np.ndarray) -> np.ndarray:
         return ((code * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def regions(self, data: np.ndarray) -> np.ndarray:
-        """(window, lowest diagonal, highest diagonal) rows of the bands of data that meet the bound."""
-        code = grams(data)
+    def regions(self, data: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """(window, lowest diagonal, highest diagonal) rows of the bands of data, whose q-grams are code, that meet
+        the bound."""
         at = np.flatnonzero(self.known[self._slot(code)])
         found = np.minimum(np.searchsorted(self.code, code[at]), max(len(self.code) - 1, 0))
         same = self.code[found] == code[at]
@@ -119,11 +202,14 @@ class Windows:
         return np.concatenate(out)
 
     def matches(self, raw: bytes) -> set[int]:
-        """Numbers of the items of which a window aligns with a region of raw within its budget."""
-        if len(raw) < Q:
-            return set()
-        found: set[int] = set()
-        for w, low, high in self.regions(np.frombuffer(raw, np.uint8)).tolist():
+        """Numbers of the items of which a window aligns with a region of raw within its budget, and of the short
+        items that raw holds."""
+        data = np.frombuffer(raw, np.uint8)
+        code = grams(data)
+        found = self.short.matches(raw, code)
+        if len(raw) < Q or not self.text:
+            return found
+        for w, low, high in self.regions(data, code).tolist():
             if self.item[w] in found:
                 continue
             pattern, budget = self.text[w], int(self.budget[w])

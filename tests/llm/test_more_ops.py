@@ -274,6 +274,23 @@ def test_decontamination_equals_alignment(spark):
     assert all(not r._items for r in op8.contaminated(docs(spark, texts[:3]), bench.limit(0)).collect())
 
 
+def test_short_benchmark_items_are_found(spark):
+    items = ["What is the capital of Peru?", "Lima", "日本の首都は", "東京", "straße", "ab", "", " ", "née", "7", "nine byte", "Lima"]
+    texts = ["so: what  is the\tCAPITAL of peru? tell", "lima", "limas slima lima_ élima limaé", "(Lima)", "質問:日本の首都はどこか", "東京都", "Straße", "Straßen",
+             "cab abc x-ab", "nee", "NéE", "née", "77 7a", "x7 7", "nine  byte", "nine bytes", None, "", "what is the capital of peru ?"]
+    want = [[0], [1, 11], [], [1, 11], [2], [3], [4], [], [5], [], [8], [8], [], [9], [10], [], [], [], []]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r._items for r in op8.contaminated(docs(spark, texts), bench).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    some = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(150)})
+    windows = op8.Windows([(k, t) for k, t in enumerate(some) if len(t) < op8.MIN_ITEM])
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(40))
+        assert windows.matches(text.encode()) == {k for k, t in enumerate(some) if len(t) < op8.MIN_ITEM and f" {t} " in f" {text} "}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     items = [prose(rng, 30, 5000) for _ in range(30)]
