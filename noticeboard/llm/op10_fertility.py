@@ -1,9 +1,11 @@
 """Quality rules from tokeniser fertility.
 
 The distinct words of a block are encoded once with a public SentencePiece vocabulary; from them come, per text,
-characters per token, the share of byte-fallback tokens and the entropy of the tokens. Bands are measured over all
-texts of a language: the median and the median distance from it, by length octave for the entropy, which grows
-with length. A text outside a band is rejected. Plain counts of symbols, repeated lines and repeated words stand
+characters per token, the share of byte-fallback tokens and the entropy of the tokens. Bands are measured over the
+distinct texts of a language, so a copy weighs nothing: the median and the median distance from it. The entropy grows
+with length, so its bands are by length octave; the median of an octave of few distinct texts is drawn towards the line
+through the other octaves of the language, and that, where the language has few, towards the line through the octaves
+of all languages, so that no sparse octave judges itself. A text outside a band is rejected. Plain counts of symbols, repeated lines and repeated words stand
 beside them and fail a text by themselves.
 
 Nulls and ties: null text has no words; a null language is a language of its own; measures of a text without
@@ -32,6 +34,8 @@ LEAST_BYTES = 0.05
 ENTROPY_SPREADS = 6.0
 LEAST_ENTROPY = 0.3           # bits
 SMALL_TEXT = 2.0              # the fertility band widens by this over the root of the token count
+SHRINK_TEXTS = 20.0           # distinct texts that an octave's own median needs to weigh as much as the line beside it
+OCTAVE_TEXTS = 200.0          # distinct texts as which an octave counts at most for that line
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["n_tokens", "n_bytes"]
 
@@ -98,7 +102,7 @@ def token_measures(words: Words, model: str) -> tuple[np.ndarray, np.ndarray, np
 
 
 def measured(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, lang, counts, n_tokens, n_bytes, entropy) of every row of docs (doc_id, text, lang)."""
+    """(doc_id, lang, text_hash, counts, n_tokens, n_bytes, entropy) of every row of docs (doc_id, text, lang)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             texts = texts_of(block)
@@ -110,10 +114,11 @@ def measured(docs: DataFrame, model: str = MODEL) -> DataFrame:
                        np.array([repeated_lines(t) for t in texts.to_pylist()], np.int64), repeated_words(words),
                        tokens, n_bytes]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("lang"), *(pa.array(c) for c in columns),
-                 pa.array(entropy, from_pandas=True)], ["doc_id", "lang", *COUNTS, *MEASURES, "entropy"])
-    source = docs.select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("lang", "text")))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, " + ", ".join(
+                [block.column("doc_id"), block.column("lang"), block.column("text_hash"), *(pa.array(c) for c in columns),
+                 pa.array(entropy, from_pandas=True)], ["doc_id", "lang", "text_hash", *COUNTS, *MEASURES, "entropy"])
+    source = docs.select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("lang", "text")),
+                         F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text_hash long, " + ", ".join(
         f"{c} long" for c in (*COUNTS, *MEASURES)) + ", entropy double"
     return source.mapInArrow(run, schema)
 
@@ -138,14 +143,66 @@ def _band(measures: DataFrame, keys: list[str], value: str) -> DataFrame:
     return away.groupBy(*keys, f"{value}_mid").agg(F.percentile_approx("away", 0.5, 10000).alias(f"{value}_away"))
 
 
+def _lines(cells: DataFrame) -> DataFrame:
+    """cells (lang, octave, mid, away, n) with `line` and `spread`, the median and the distance expected from the
+    language's other octaves (straight lines, nearer octaves weighing more; level beyond the longest, as entropy
+    flattens), and `weight`, the texts that these stand for."""
+    other = cells.select(F.col("lang").alias("_lang"), F.col("octave").alias("at"), F.col("mid").alias("m"),
+                         F.col("away").alias("a"), F.col("n").alias("k"))
+    # A language has at most as many octaves as lengths have bits.
+    near = cells.join(other, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("at") != F.col("octave")), "left")
+    x = F.col("at") - F.col("octave")
+    w = F.least("k", F.lit(OCTAVE_TEXTS)) * F.exp(-F.abs(x))
+    sums = near.groupBy("lang", "octave", "mid", "away", "n").agg(
+        F.max(x).alias("last"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"),
+        *(F.sum(w * F.col(y)).alias(f"w{y}") for y in "ma"), *(F.sum(w * x * F.col(y)).alias(f"wx{y}") for y in "ma"))
+
+    def line(y: str) -> Column:
+        var = F.col("wxx") * F.col("w") - F.col("wx") * F.col("wx")
+        slope = F.coalesce(F.when(var > 1e-9, (F.col(f"wx{y}") * F.col("w") - F.col("wx") * F.col(f"w{y}")) / var), F.lit(0.0))
+        # Entropy grows by one bit at most where the length doubles.
+        slope = F.least(F.greatest(slope, F.lit(-1.0 if y == "a" else 0.0)), F.lit(1.0))
+        return F.greatest((F.col(f"w{y}") - slope * F.col("wx")) / F.col("w") + slope * F.least("last", F.lit(0)),
+                          F.when(F.col("w") > 0, 0.0))
+    return sums.select("lang", "octave", "mid", "away", "n", F.coalesce("w", F.lit(0.0)).alias("weight"),
+                       line("m").alias("line"), line("a").alias("spread"))
+
+
+def _drawn(own: Column, weight: Column, towards: Column) -> Column:
+    """own, of so many texts, drawn towards another value; whichever is there alone stands."""
+    return F.coalesce((weight * own + SHRINK_TEXTS * towards) / (weight + SHRINK_TEXTS), own, towards)
+
+
+def entropy_bands(distinct: DataFrame) -> DataFrame:
+    """(lang, octave, entropy_mid, entropy_away) of distinct texts (lang, octave, entropy)."""
+    keys = ["lang", "octave"]
+
+    def cells(texts: DataFrame) -> DataFrame:
+        number = texts.groupBy(*keys).agg(F.count("*").alias("n"))
+        return _beside(_band(texts, keys, "entropy"), number, keys).select(
+            *keys, F.col("entropy_mid").alias("mid"), F.col("entropy_away").alias("away"), "n")
+    own = stored(_lines(stored(cells(distinct), "entropy-cells")), "entropy-lines")
+    pooled = _lines(stored(cells(distinct.withColumn("lang", F.lit("all"))), "entropy-octaves"))
+    pooled = pooled.select("octave", _drawn(F.col("mid"), F.col("n"), F.col("line")).alias("all_mid"),
+                           _drawn(F.col("away"), F.col("n"), F.col("spread")).alias("all_away"))
+    both = _beside(own, pooled, ["octave"])
+    middle = _drawn(F.col("mid"), F.col("n"), _drawn(F.col("line"), F.col("weight"), F.col("all_mid")))
+    away = _drawn(F.col("away"), F.col("n"), _drawn(F.col("spread"), F.col("weight"), F.col("all_away")))
+    return both.select(*keys, F.round(middle, 9).alias("entropy_mid"), F.round(away, 9).alias("entropy_away"))
+
+
 def judged(measures: DataFrame) -> DataFrame:
     """Stored measures with ratios, bands, base_failed and kept. Bands are a row per language (and length octave),
     so they are few as long as the
     language column holds languages; where it doesn't, their counted number makes the join shuffle."""
     m = with_ratios(measures)
+    # The measures follow from the text, so distinct rows are distinct texts.
+    distinct = stored(m.filter("n_tokens > 0").select("lang", "octave", "text_hash", "chars_per_token", "byte_share", "entropy")
+                      .distinct(), "distinct-texts")
     out = m
-    for keys, value in ((["lang"], "chars_per_token"), (["lang"], "byte_share"), (["lang", "octave"], "entropy")):
-        out = _beside(out, _band(m, keys, value), keys)
+    for value in ("chars_per_token", "byte_share"):
+        out = _beside(out, _band(distinct, ["lang"], value), ["lang"])
+    out = _beside(out, entropy_bands(distinct), ["lang", "octave"])
     widest: Column = F.greatest(SPREADS * F.col("chars_per_token_away"), LEAST_FERTILITY * F.col("chars_per_token_mid"))
     widest = widest + F.col("chars_per_token_mid") * SMALL_TEXT / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     odd = {

@@ -349,6 +349,23 @@ def test_fertility_counts_equal_brute_force(spark):
     assert op10.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_no_octave_and_no_copies_judge_themselves(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    say = lambda n, of: " ".join(rng.choice(words[:of]) for _ in range(n))
+    normal = [say(rng.randrange(60, 900), 3000) for _ in range(240)]
+    long_junk, long_good, copied = say(6000, 30), say(6000, 3000), say(300, 12)
+    texts = normal + [long_junk] * 2 + [long_good] + [copied] * 400
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(-1, say(6000, 30), "xx"), (-2, say(6000, 3000), "xx")],
+                               "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in op10.quality_rules(df).collect()}
+    n = len(normal)
+    assert [got[n + k].odd_entropy for k in range(3)] == [True, True, False]     # two copies and one text alone in their octaves
+    assert all(got[n + 3 + k].odd_entropy for k in range(400))                   # the most rows of their octave, one text
+    assert got[-1].odd_entropy and not got[-2].odd_entropy                       # a language of two texts
+    assert sum(got[i].odd_entropy for i in range(n)) == 0
+
+
 # --- helpers and pipeline
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 20), (5, 4), (30, 31)]
