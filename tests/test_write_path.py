@@ -193,3 +193,14 @@ def test_update_stops_at_the_first_failure(spark, tmp_path):
     assert (done["annotated"], done["embedded"], done["log_days_kept"], done["log_days_pruned"]) == (0, 1, 1, 1)
     again = update(spark, paths, date(2024, 1, 25))
     assert (again["batches"], again["annotated"], again["embedded"]) == (0, 0, 0)
+
+
+def test_update_tells_rows_per_second(spark, tmp_path):
+    from datetime import date
+    land(tmp_path / "pages", "0001.json", [record(1)])
+    for name in ("day=2023-01-01", "day=2024-01-20"):
+        (tmp_path / "log" / name).mkdir(parents=True)
+    done = update(spark, Paths(*[str(tmp_path / n) for n in ("pages", "table", "check", "stats", "log")]), date(2024, 1, 25))
+    for stage in ("annotated", "embedded"):
+        assert (done[f"{stage}_per_second"] > 0) == (done[stage] > 0) and done[f"{stage}_per_second"] <= 100 * done[stage]
+    assert done["embedded"] == 1
