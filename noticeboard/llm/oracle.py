@@ -3,6 +3,7 @@ from __future__ import annotations
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 CONTROL = (r"\|(?:turn|text|end|image|audio|document|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|/?SYS>>|<SYS>>"
            r"|<\/SYS>>")
@@ -35,4 +36,19 @@ reach AS (SELECT doc_id AS node, doc_id AS root FROM documents
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id""",
+    "op11_search": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
+t AS (SELECT r, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM t GROUP BY r, term),
+n AS (SELECT r, sum(tf) AS n FROM tf GROUP BY r),
+g AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, big_n),
+q AS (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark),
+s AS (SELECT q.item_id, d.doc_id, d.r,
+             sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * n.n * g.big_n) // g.big_l))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (r) JOIN d USING (r), g
+      GROUP BY q.item_id, d.doc_id, d.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST, r) AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id::BIGINT AS doc_id, score FROM k WHERE rank <= 10""",
 }

@@ -15,6 +15,7 @@ from noticeboard.llm.op7_urls import judge_urls
 from noticeboard.llm.op8_decontaminate import contaminated
 from noticeboard.llm.op9_quality import judged
 from noticeboard.llm.op10_fertility import COUNTS, quality_rules
+from noticeboard.llm.op11_search import search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,5 +90,12 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "odd_fertility", "odd_bytes", "odd_entropy")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents: its ten best."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return search(_table(spark, sf_dir, "documents"), items).withColumnRenamed("query", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_chat, op2_minhash, op3_sentencepiece, op4_lm, op5_spans, op6_licenses, op7_urls, op8_decontaminate, op9_quality, op10_fertility)}
+    op1_chat, op2_minhash, op3_sentencepiece, op4_lm, op5_spans, op6_licenses, op7_urls, op8_decontaminate, op9_quality, op10_fertility,
+    op11_search)}
