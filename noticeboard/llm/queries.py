@@ -16,6 +16,7 @@ from noticeboard.llm.op8_decontaminate import contaminated
 from noticeboard.llm.op9_quality import judged
 from noticeboard.llm.op10_fertility import COUNTS, quality_rules
 from noticeboard.llm.op11_search import search
+from noticeboard.llm.op12_mixing import mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +97,11 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), items).withColumnRenamed("query", "item_id")
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' targets."""
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat, op2_minhash, op3_sentencepiece, op4_lm, op5_spans, op6_licenses, op7_urls, op8_decontaminate, op9_quality, op10_fertility,
-    op11_search)}
+    op11_search, op12_mixing)}
