@@ -17,6 +17,7 @@ from noticeboard.llm.op9_quality import judged
 from noticeboard.llm.op10_fertility import COUNTS, quality_rules
 from noticeboard.llm.op11_search import search
 from noticeboard.llm.op12_mixing import mix
+from noticeboard.llm.op13_alignment import align
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +103,11 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of both vocabularies, aligned."""
+    return align(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat, op2_minhash, op3_sentencepiece, op4_lm, op5_spans, op6_licenses, op7_urls, op8_decontaminate, op9_quality, op10_fertility,
-    op11_search, op12_mixing)}
+    op11_search, op12_mixing, op13_alignment)}
