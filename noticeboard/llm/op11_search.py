@@ -11,10 +11,10 @@ Every query (here: a benchmark item) ranks all documents by an integer BM25-like
     score   sum over the query's terms (repeats counted) of w * impact
 
 The method, as Spark jobs over stored tables:
-1. Postings (term, row, tf, impact) are written once, in blocks of BLOCK consecutive rows of a scan partition;
+1. Postings (term, row, tf, impact) are counted inside each row and written once, in blocks of BLOCK consecutive rows of a scan partition;
    per term the largest impact (the list's global bound) and per (term, block) the block's largest impact.
-2. A threshold per query: the documents of each term's champion list (its CHAMPIONS highest impacts, taken per
-   shard first and merged) are scored exactly; the k-th best score among them cannot exceed the true k-th.
+2. A threshold per query: the documents of each term's champions (the best posting of each of CHAMPIONS shards
+   of its list, by a partial aggregation) are scored exactly; the k-th best score among them cannot exceed the true k-th.
 3. MaxScore: the query's terms sorted by bound; the longest prefix whose bounds add up to less than the
    threshold is non-essential, because a document that holds only those terms cannot reach the top k.
    Candidates come from the essential lists alone.
@@ -43,7 +43,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP_K = 10
 
 BLOCK = 128          # rows of one scan partition per block of a posting list
-CHAMPIONS = 10       # highest impacts per term scored to seed the threshold
+CHAMPIONS = 10       # shards of a posting list whose best posting is scored to seed the threshold
 SHARDS = 64          # heaps per query before the merge, and shards of a champion list
 
 
@@ -55,25 +55,30 @@ def terms(text) -> F.Column:
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, term bounds, block bounds) of docs(doc_id, text), stored.
 
-    postings: _row, doc_id, term, tf, impact, block; bounds: term, w, top; blocks: term, block, top."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "op11-rows")
-    counted = (rows.select("_row", F.explode(terms(F.col("text"))).alias("term"))
-               .groupBy("_row", "term").agg(F.count("*").alias("tf")))
-    lengths = counted.groupBy("_row").agg(F.sum("tf").alias("_len"))
-    totals = lengths.agg(F.count("*").alias("_docs"), F.sum("_len").alias("_terms"))
-    m = F.lit(25) + F.expr("(75 * _len * _docs) div _terms")
-    impact = F.expr("(1000000000 * tf) div (1000 * tf + 8 * _m)")
-    postings = stored(
-        counted.join(lengths, "_row").crossJoin(F.broadcast(totals))   # totals: one row
-        .withColumn("_m", m).join(rows.select("_row", "doc_id"), "_row")
-        .select("_row", "doc_id", "term", "tf", impact.alias("impact"),
-                F.expr(f"_row div {BLOCK}").alias("block"), "_docs"), "op11-postings")
-    bounds = stored(postings.groupBy("term").agg(
-        F.floor(F.lit(1000.0) * F.log((F.lit(2.0) * F.first("_docs") + 2) / (F.lit(2.0) * F.count("*") + 1)))
-        .cast("long").alias("w"),
-        F.max("impact").alias("top")), "op11-bounds")
-    blocks = stored(postings.groupBy("term", "block").agg(F.max("impact").alias("top")), "op11-blocks")
-    return postings.drop("_docs"), bounds, blocks
+    postings: _row, doc_id, term, tf, impact, block; bounds: term, w, top; blocks: term, block, top.
+    A document's terms are sorted and counted by their runs inside its own row, so postings leave the scan
+    without a shuffle; N and L are two sums over them; term bounds come from block bounds."""
+    sorted_terms = F.array_sort(terms(F.col("text")))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", sorted_terms.alias("_t"))
+    n = F.size("_t")
+    ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (
+        F.element_at("_t", i) != F.element_at("_t", i + 1)))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(ends, lambda e, k: F.struct(
+        F.element_at("_t", e).alias("term"),
+        (e - F.when(k > 0, F.element_at(ends, k)).otherwise(0)).cast("long").alias("tf"),
+        (k == 0).alias("first")))
+    counted = stored(rows.select("_row", "doc_id", n.cast("long").alias("_len"), F.inline(runs))
+                     .withColumn("block", F.expr(f"_row div {BLOCK}")), "op11-postings")
+    docs_n, terms_l = counted.agg(F.count(F.when(F.col("first"), 1)), F.sum(F.when(F.col("first"), F.col("_len")))).first()
+    m = F.lit(25) + F.expr(f"(75 * _len * {docs_n or 0}) div {terms_l or 1}")
+    postings = counted.select("_row", "doc_id", "term", "tf", "block", m.alias("_m")).select(
+        "_row", "doc_id", "term", "tf", F.expr("(1000000000 * tf) div (1000 * tf + 8 * _m)").alias("impact"), "block")
+    blocks = stored(postings.groupBy("term", "block").agg(F.max("impact").alias("top"), F.count("*").alias("_df")),
+                    "op11-blocks")
+    bounds = stored(blocks.groupBy("term").agg(
+        F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * (docs_n or 0) + 2) / (F.lit(2.0) * F.sum("_df") + 1)))
+        .cast("long").alias("w"), F.max("top").alias("top")), "op11-bounds")
+    return postings, bounds, blocks.drop("_df")
 
 
 def _top(scored: DataFrame, key: str, order: list[F.Column], k: int) -> DataFrame:
@@ -101,10 +106,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     ranked = query_terms.join(bounds, "term").withColumn("ub", F.col("qtf") * F.col("w") * F.col("top"))
 
     # 2. Threshold from the champion lists of the query's terms.
-    best = [F.col("impact").desc(), F.col("_row")]
-    champions = _top(postings.select("term", "_row", "impact"), "term", best, CHAMPIONS)
-    seeds = ranked.select("query", "term").join(champions.select("term", "_row"), "term").select("query", "_row")
-    seeded = _exact(seeds.distinct(), query_terms, postings, bounds)
+    best = postings.groupBy("term", F.pmod("_row", F.lit(CHAMPIONS)).alias("_shard")).agg(
+        F.max(F.struct("impact", "_row")).alias("_best"))          # map-side partial: one row a term and shard
+    champions = best.select("term", F.col("_best._row").alias("_row"))
+    seeds = ranked.select("query", "term").join(champions, "term").select("query", "_row").distinct()
+    seeded = _exact(small_side(stored(seeds, "op11-seeds")), query_terms, postings, bounds)
     kth = (seeded.withColumn("_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc())))
            .filter(F.col("_rank") == k).select("query", F.col("score").alias("theta")))
 
