@@ -13,6 +13,7 @@ from noticeboard.functions import annotations as A, clients as C, records as R,
 from noticeboard.operators import (annotate as N, entities as E, filters as P, requests as L,
                                    stats as S, topn, upsert as U)
 from noticeboard.operators.phrases import match_phrases
+from noticeboard.operators.postings import occurrences, phrase_index
 from noticeboard.operators.vectors import nearest
 from noticeboard.plans import search as Q
 from noticeboard.plans.dossier import dossier
@@ -324,9 +325,9 @@ def phrase_lookup(spark, sf):
 def phrase_matches(spark, sf):
     """All phrases of the request table against all documents, with occurrence counts."""
     phrases = X.requests(spark, sf).select("query_id", T.words(F.col("q")).alias("words"))
-    hits = match_phrases(X.docs(spark, sf).select("id", "tokens"), phrases)
-    return hits.select("query_id", "id", T.phrase_count(
-        F.col("spaced_text"), F.col("phrase"), F.col("overlaps")).cast("long").alias("occurrences"))
+    index = phrase_index(X.docs(spark, sf).select("id", "tokens"))
+    hits = occurrences(index, phrases, "query_id").join(index.rows, "_row")
+    return hits.select("query_id", "id", F.col("occurrences").cast("long"))
 
 
 @query

@@ -11,6 +11,7 @@ from noticeboard.functions.text import (has_phrase, is_sentence, overlaps_itself
 from noticeboard.operators.annotate import embed_texts, parse_queries
 from noticeboard.operators.filters import Filters, has_vector, request_filter
 from noticeboard.operators.phrases import anchored, match_phrases
+from noticeboard.operators.postings import PhraseIndex, occurrences, phrase_index
 from noticeboard.operators.sizing import is_small
 from noticeboard.operators.topn import (best_first, capped, first_n, rank_then_newest,
                                         rank_then_newest_per)
@@ -63,19 +64,27 @@ def _request_key(*what: str) -> Column:
     return F.sha2(F.to_json(shape, {"ignoreNullFields": "false"}), 256)
 
 
-def keyword_search(notices: DataFrame, requests: DataFrame) -> DataFrame:
+def keyword_index(notices: DataFrame) -> PhraseIndex:
+    """The positional index of notices with the ranking columns beside it: built once, read by searches."""
+    return phrase_index(rankable(notices))
+
+
+def keyword_search(notices: DataFrame | PhraseIndex, requests: DataFrame) -> DataFrame:
     """Phrase search for a table of requests: (query_id, id, date, score, rank, position).
 
-    Requests that ask the same are answered once and the answer, at most MAX_LIMIT rows, is handed
-    to each of them."""
+    Occurrences come from the positional index (built here from a notices table, or given), so the search
+    reads postings of the requests' words and the ranking columns, never the texts. Requests that ask the
+    same are answered once and the answer, at most MAX_LIMIT rows, is handed to each of them; requests
+    without words match nothing."""
+    index = notices if isinstance(notices, PhraseIndex) else keyword_index(notices)
     asked = prepared(requests).withColumn("words", words(F.col("q")))
-    asked = settled(anchored(asked.withColumn("request_key", _request_key("words")).drop("q")),
-                    "requests")
+    asked = settled(asked.withColumn("request_key", _request_key("words")).drop("q")
+                    .filter(F.size("words") > 0), "requests")
     distinct = asked.drop("query_id").dropDuplicates(["request_key"])
+    found = occurrences(index, distinct.select("request_key", "words"), "request_key")
     hits = with_keyword_score(
-        match_phrases(rankable(notices), distinct).filter(request_filter()),
-        phrase_count(F.col("spaced_text"), F.col("phrase"), F.col("overlaps"))) \
-        .select("request_key", "k", "id", "date", "score")
+        found.join(index.rows, "_row").join(distinct.drop("words"), "request_key").filter(request_filter()),
+        F.col("occurrences")).select("request_key", "k", "id", "date", "score")
     best = rank_then_newest_per(hits, ["request_key"], MAX_LIMIT, F.col("k"))
     return (best.join(asked.select("query_id", "request_key"), "request_key")
             .select("query_id", "id", "date", "score", "rank", "position"))
