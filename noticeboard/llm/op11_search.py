@@ -63,11 +63,12 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = F.size("_t")
     ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (
         F.element_at("_t", i) != F.element_at("_t", i + 1)))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(ends, lambda e, k: F.struct(
+    # The run ends are a column of their own: inside the lambda an expression would be computed per element.
+    runs = F.transform("_ends", lambda e, k: F.struct(
         F.element_at("_t", e).alias("term"),
-        (e - F.when(k > 0, F.element_at(ends, k)).otherwise(0)).cast("long").alias("tf"),
+        (e - F.when(k > 0, F.element_at("_ends", k)).otherwise(0)).cast("long").alias("tf"),
         (k == 0).alias("first")))
-    counted = stored(rows.select("_row", "doc_id", n.cast("long").alias("_len"), F.inline(runs))
+    counted = stored(rows.withColumn("_ends", ends).select("_row", "doc_id", n.cast("long").alias("_len"), F.inline(runs))
                      .withColumn("block", F.expr(f"_row div {BLOCK}")), "op11-postings")
     docs_n, terms_l = counted.agg(F.count(F.when(F.col("first"), 1)), F.sum(F.when(F.col("first"), F.col("_len")))).first()
     m = F.lit(25) + F.expr(f"(75 * _len * {docs_n or 0}) div {terms_l or 1}")
