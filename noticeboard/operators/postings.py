@@ -52,21 +52,41 @@ def phrase_index(notices: DataFrame, keep: list[str] | None = None) -> PhraseInd
     return PhraseIndex(postings, spark.read.parquet(frequency_path), numbered.drop("tokens"))
 
 
-def occurrences(index: PhraseIndex, phrases: DataFrame, key: str = "key", words_col: str = "words") -> DataFrame:
-    """(key, _row, occurrences) of every phrase row of phrases(key, words) in every notice that holds it at
-    least once. A phrase without words matches nothing; a word that no notice holds matches nothing."""
-    placed = (phrases.select(key, F.posexplode(words_col).alias("offset", "word"))
-              .withColumn("_bucket", bucket(F.col("word")))
-              .join(index.frequency, ["_bucket", "word"], "left")
-              .withColumn("n_notices", F.coalesce("n_notices", F.lit(0))))
+def _placed(index: PhraseIndex, phrases: DataFrame, key: str, words_col: str) -> DataFrame:
+    return (phrases.select(key, F.posexplode(words_col).alias("offset", "word"))
+            .withColumn("_bucket", bucket(F.col("word")))
+            .join(index.frequency, ["_bucket", "word"], "left")
+            .withColumn("n_notices", F.coalesce("n_notices", F.lit(0))))
+
+
+def _starts(index: PhraseIndex, placed: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """Candidate starts (key, _n, _row, _start) from each phrase's anchor: its word that the fewest notices hold."""
     lengths = placed.groupBy(key).agg(
         F.count("*").alias("_n"),
         F.min(F.struct("n_notices", "offset", "word", "_bucket")).alias("_anchor"))
     anchors = lengths.select(key, "_n", F.col("_anchor.offset").alias("_at"), F.col("_anchor.word").alias("word"),
                              F.col("_anchor._bucket").alias("_bucket"))
     small = is_small(anchors, F.length("word"))
-    starts = (index.postings.join(F.broadcast(anchors) if small else anchors, ["_bucket", "word"])
-              .select(key, "_n", "_row", (F.col("position") - F.col("_at")).alias("_start")))
+    return (index.postings.join(F.broadcast(anchors) if small else anchors, ["_bucket", "word"])
+            .select(key, "_n", "_row", (F.col("position") - F.col("_at")).alias("_start"))), small
+
+
+def candidates(index: PhraseIndex, phrases: DataFrame, key: str = "key", words_col: str = "words") -> DataFrame:
+    """(key, _row) of every notice that holds the anchor word of a phrase: a superset of the notices that hold
+    the phrase, found without a position join."""
+    starts, _ = _starts(index, _placed(index, phrases, key, words_col), key)
+    return starts.select(key, "_row").distinct()
+
+
+def occurrences(index: PhraseIndex, phrases: DataFrame, key: str = "key", words_col: str = "words",
+                among: DataFrame | None = None) -> DataFrame:
+    """(key, _row, occurrences) of every phrase row of phrases(key, words) in every notice that holds it at
+    least once; with `among` (key, _row), only those pairs are counted. A phrase without words matches
+    nothing; a word that no notice holds matches nothing."""
+    placed = _placed(index, phrases, key, words_col)
+    starts, small = _starts(index, placed, key)
+    if among is not None:
+        starts = starts.join(among.select(key, "_row"), [key, "_row"], "left_semi")
     wanted = (starts.join(placed.select(key, "offset", "word", "_bucket"), key)
               .withColumn("position", F.col("_start") + F.col("offset")))
     needed = placed.select("_bucket", "word").distinct()

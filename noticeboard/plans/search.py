@@ -1,9 +1,9 @@
 """Phrase search, vector search and the routed search over a table of requests."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from noticeboard.fixed_values import (COMPACT_SEARCH_LIMIT, DEFAULT_LIMIT, KEYWORD_BONUS, MAX_LIMIT)
+from noticeboard.fixed_values import (COMPACT_SEARCH_LIMIT, DEFAULT_LIMIT, KEYWORD_BONUS, MAX_LIMIT, RANK_WEIGHT)
 from noticeboard.functions.annotations import merge_filter
 from noticeboard.functions.scoring import (cosine, length_penalty, phrase_rank, significance_boost)
 from noticeboard.functions.text import (has_phrase, is_sentence, overlaps_itself, phrase_count,
@@ -11,7 +11,7 @@ from noticeboard.functions.text import (has_phrase, is_sentence, overlaps_itself
 from noticeboard.operators.annotate import embed_texts, parse_queries
 from noticeboard.operators.filters import Filters, has_vector, request_filter
 from noticeboard.operators.phrases import anchored, match_phrases
-from noticeboard.operators.postings import PhraseIndex, occurrences, phrase_index
+from noticeboard.operators.postings import PhraseIndex, candidates, occurrences, phrase_index
 from noticeboard.operators.sizing import is_small
 from noticeboard.operators.topn import (best_first, capped, first_n, rank_then_newest,
                                         rank_then_newest_per)
@@ -64,6 +64,54 @@ def _request_key(*what: str) -> Column:
     return F.sha2(F.to_json(shape, {"ignoreNullFields": "false"}), 256)
 
 
+# Pairs (request, notice) of the last keyword search: holding an anchor word and passing the filters, counted in
+# the first round (each request's best k by bound), counted after it (bound at least the k-th exact score).
+LAST_BOUNDS: dict[str, int] = {}
+
+
+def upper_score(n_tokens: Column, significance: Column, n_chars: Column) -> Column:
+    """A score that no number of occurrences exceeds: the series of 1/j^2 stays under its limit, so the rank
+    term stays under RANK_WEIGHT / log2(n + 1); boost and penalty are known before counting."""
+    return (F.lit(RANK_WEIGHT) / F.log2(n_tokens + F.lit(1)) * F.lit(1 + 1e-9)
+            + significance_boost(significance) - length_penalty(n_chars) + F.lit(1e-12))
+
+
+def bounded_occurrences(index: PhraseIndex, distinct: DataFrame) -> DataFrame:
+    """(request_key, _row, occurrences) of the notices that pass a request's filters and may reach its best k.
+
+    Notices holding a request's anchor word are candidates; the best k of each request by upper score are
+    counted first, and the k-th best exact score among them is a threshold that the true k-th reaches. Of the
+    other candidates only those whose upper score reaches the threshold are counted; the rest can score only
+    below it. The best k are those of counting every candidate."""
+    phrases = distinct.select("request_key", "words")
+    wanted = (candidates(index, phrases, "request_key").join(index.rows, "_row")
+              .join(distinct.drop("words"), "request_key").filter(request_filter())
+              .select("request_key", "_row", "k", upper_score(
+                  F.col("n_tokens"), F.col("significance_score"), F.col("n_chars")).alias("_upper")))
+    seen = Observation("keyword_candidates")
+    wanted = settled(wanted.observe(seen, F.count(F.lit(1)).alias("pairs")), "candidates")
+    by_bound = Window.partitionBy("request_key").orderBy(F.col("_upper").desc(), "_row")
+    first = settled(wanted.withColumn("_r", F.row_number().over(by_bound)).filter(F.col("_r") <= F.col("k")),
+                    "first-counted")
+    counted = settled(occurrences(index, phrases, "request_key", among=first), "first-occurrences")
+    exact = (counted.join(index.rows, "_row").join(first.select("request_key", "_row", "k"), ["request_key", "_row"])
+             .select("request_key", "k", "id", "date", score_of(F.col("occurrences")).alias("score")))
+    kth = (exact.withColumn("_r", F.row_number().over(Window.partitionBy("request_key").orderBy(*best_first())))
+           .filter(F.col("_r") == F.col("k")).select("request_key", F.col("score").alias("_theta")))
+    rest = (wanted.join(first, ["request_key", "_row"], "left_anti").join(kth, "request_key", "left")
+            .filter(F.col("_theta").isNull() | (F.col("_upper") >= F.col("_theta"))))
+    late = Observation("keyword_counted_late")
+    rest = settled(rest.observe(late, F.count(F.lit(1)).alias("pairs")), "late-counted")
+    LAST_BOUNDS.update(candidates=seen.get["pairs"], first=first.count(), late=late.get["pairs"])
+    return counted.unionByName(occurrences(index, phrases, "request_key", among=rest))
+
+
+def score_of(occurrences_col: Column) -> Column:
+    """The score of counted occurrences in a row that holds n_tokens, significance_score and n_chars."""
+    return (phrase_rank(occurrences_col, F.col("n_tokens")) + significance_boost(F.col("significance_score"))
+            - length_penalty(F.col("n_chars")))
+
+
 def keyword_index(notices: DataFrame) -> PhraseIndex:
     """The positional index of notices with the ranking columns beside it: built once, read by searches."""
     return phrase_index(rankable(notices))
@@ -81,9 +129,9 @@ def keyword_search(notices: DataFrame | PhraseIndex, requests: DataFrame) -> Dat
     asked = settled(asked.withColumn("request_key", _request_key("words")).drop("q")
                     .filter(F.size("words") > 0), "requests")
     distinct = asked.drop("query_id").dropDuplicates(["request_key"])
-    found = occurrences(index, distinct.select("request_key", "words"), "request_key")
+    found = bounded_occurrences(index, distinct)
     hits = with_keyword_score(
-        found.join(index.rows, "_row").join(distinct.drop("words"), "request_key").filter(request_filter()),
+        found.join(index.rows, "_row").join(distinct.drop("words"), "request_key"),
         F.col("occurrences")).select("request_key", "k", "id", "date", "score")
     best = rank_then_newest_per(hits, ["request_key"], MAX_LIMIT, F.col("k"))
     return (best.join(asked.select("query_id", "request_key"), "request_key")

@@ -58,3 +58,26 @@ def test_search_plan_reads_no_text_and_cost_follows_postings(spark):
         assert found.filter("query_id = 1").count() == 4
         times.append(time.time() - started)
     assert times[1] <= 2.5 * times[0] + 2.0, times
+
+
+def test_bounds_count_fewer_pairs_and_change_nothing(spark):
+    from noticeboard.catalog import fixtures as X
+    from noticeboard.operators.filters import request_filter
+    from noticeboard.operators.topn import rank_then_newest_per
+    sf = "/root/testdata/sf0.001"
+    index = Q.keyword_index(X.docs(spark, sf))
+    requests = X.requests(spark, sf)
+    got = sorted(map(tuple, Q.keyword_search(index, requests).collect()))
+    bounds = dict(Q.LAST_BOUNDS)
+    # every candidate counted: the plain answer
+    asked = Q.prepared(requests).withColumn("words", Q.words(F.col("q"))).filter(F.size("words") > 0)
+    asked = asked.withColumn("request_key", Q._request_key("words"))
+    distinct = asked.drop("query_id").dropDuplicates(["request_key"])
+    found = occurrences(index, distinct.select("request_key", "words"), "request_key")
+    hits = Q.with_keyword_score(found.join(index.rows, "_row").join(distinct.drop("words"), "request_key")
+                                .filter(request_filter()), F.col("occurrences"))
+    best = rank_then_newest_per(hits.select("request_key", "k", "id", "date", "score"), ["request_key"], 100, F.col("k"))
+    want = best.join(asked.select("query_id", "request_key"), "request_key").select(
+        "query_id", "id", "date", "score", "rank", "position")
+    assert got == sorted(map(tuple, want.collect()))
+    assert bounds["first"] + bounds["late"] < bounds["candidates"], bounds
