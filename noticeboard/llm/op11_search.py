@@ -11,7 +11,7 @@ Every query (here: a benchmark item) ranks all documents by an integer BM25-like
     score   sum over the query's terms (repeats counted) of w * impact
 
 The method, as Spark jobs over stored tables:
-1. Postings (term, row, tf, impact) are counted inside each row and written once, in blocks of BLOCK consecutive rows of a scan partition;
+1. Postings (term, row, tf, impact) of the queries' terms are counted inside each row and written once, in blocks of BLOCK consecutive rows of a scan partition;
    per term the largest impact (the list's global bound) and per (term, block) the block's largest impact.
 2. A threshold per query: the documents of each term's champions (the best posting of each of CHAMPIONS shards
    of its list, by a partial aggregation) are scored exactly; the k-th best score among them cannot exceed the true k-th.
@@ -52,12 +52,13 @@ def terms(text) -> F.Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
 
 
-def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, term bounds, block bounds) of docs(doc_id, text), stored.
+def index(docs: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, term bounds, block bounds) of docs(doc_id, text), stored; with wanted(term), the lists of
+    those terms only (N and L still count every document).
 
     postings: _row, doc_id, term, tf, impact, block; bounds: term, w, top; blocks: term, block, top.
     A document's terms are sorted and counted by their runs inside its own row, so postings leave the scan
-    without a shuffle; N and L are two sums over them; term bounds come from block bounds."""
+    without a shuffle; each document keeps one row for N and L besides; term bounds come from block bounds."""
     sorted_terms = F.array_sort(terms(F.col("text")))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", sorted_terms.alias("_t"))
     n = F.size("_t")
@@ -68,9 +69,15 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.element_at("_t", e).alias("term"),
         (e - F.when(k > 0, F.element_at("_ends", k)).otherwise(0)).cast("long").alias("tf"),
         (k == 0).alias("first")))
-    counted = stored(rows.withColumn("_ends", ends).select("_row", "doc_id", n.cast("long").alias("_len"), F.inline(runs))
-                     .withColumn("block", F.expr(f"_row div {BLOCK}")), "op11-postings")
+    runs_of = rows.withColumn("_ends", ends).select("_row", "doc_id", n.cast("long").alias("_len"), F.inline(runs))
+    if wanted is None:
+        runs_of = runs_of.withColumn("_wanted", F.lit(True))
+    else:
+        marks = small_side(wanted.select("term").distinct().withColumn("_wanted", F.lit(True)))
+        runs_of = runs_of.join(marks, "term", "left").filter(F.col("first") | F.col("_wanted").isNotNull())
+    counted = stored(runs_of.withColumn("block", F.expr(f"_row div {BLOCK}")), "op11-postings")
     docs_n, terms_l = counted.agg(F.count(F.when(F.col("first"), 1)), F.sum(F.when(F.col("first"), F.col("_len")))).first()
+    counted = counted.filter(F.col("_wanted").isNotNull())
     m = F.lit(25) + F.expr(f"(75 * _len * {docs_n or 0}) div {terms_l or 1}")
     postings = counted.select("_row", "doc_id", "term", "tf", "block", m.alias("_m")).select(
         "_row", "doc_id", "term", "tf", F.expr("(1000000000 * tf) div (1000 * tf + 8 * _m)").alias("impact"), "block")
@@ -101,15 +108,15 @@ def _exact(pairs: DataFrame, query_terms: DataFrame, postings: DataFrame, bounds
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """For each query of queries(query, text), its k best documents of docs(doc_id, text) with score above 0:
     query, rank (int, from 1), doc_id, score (long). See the module's notes for scores, ties and nulls."""
-    postings, bounds, blocks = index(docs.select("doc_id", "text"))
     query_terms = stored(queries.select("query", F.explode(terms(F.col("text"))).alias("term"))
                          .groupBy("query", "term").agg(F.count("*").alias("qtf")), "op11-query-terms")
+    postings, bounds, blocks = index(docs.select("doc_id", "text"), query_terms)
     ranked = query_terms.join(bounds, "term").withColumn("ub", F.col("qtf") * F.col("w") * F.col("top"))
 
     # 2. Threshold from the champion lists of the query's terms.
     best = postings.groupBy("term", F.pmod("_row", F.lit(CHAMPIONS)).alias("_shard")).agg(
-        F.max(F.struct("impact", "_row")).alias("_best"))          # map-side partial: one row a term and shard
-    champions = best.select("term", F.col("_best._row").alias("_row"))
+        F.max_by("_row", F.struct("impact", "_row")).alias("_row"))   # map-side partial: one row a term and shard
+    champions = best.select("term", "_row")
     seeds = ranked.select("query", "term").join(champions, "term").select("query", "_row").distinct()
     seeded = _exact(small_side(stored(seeds, "op11-seeds")), query_terms, postings, bounds)
     kth = (seeded.withColumn("_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc())))
