@@ -18,8 +18,8 @@ The method, as Spark jobs over stored tables:
 3. MaxScore: the query's terms sorted by bound; the longest prefix whose bounds add up to less than the
    threshold is non-essential, because a document that holds only those terms cannot reach the top k.
    Candidates come from the essential lists alone.
-4. Block-max: a candidate's bound is its exact essential score plus the block maxima of its blocks in the
-   non-essential lists. Candidates under the threshold are dropped before the non-essential postings are read
+4. Block-max: a candidate's bound is its exact essential score plus the block maxima of its block in the
+   non-essential lists (summed once per query and block). Candidates under the threshold are dropped before the non-essential postings are read
    (the "decompression"); the others are scored exactly.
 5. Top k per (query, shard), then per query: the shards' heaps are merged.
 
@@ -119,8 +119,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     champions = best.select("term", "_row")
     seeds = ranked.select("query", "term").join(champions, "term").select("query", "_row").distinct()
     seeded = _exact(small_side(stored(seeds, "op11-seeds")), query_terms, postings, bounds)
-    kth = (seeded.withColumn("_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc())))
-           .filter(F.col("_rank") == k).select("query", F.col("score").alias("theta")))
+    kth = stored(seeded.withColumn("_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc())))
+                 .filter(F.col("_rank") == k).select("query", F.col("score").alias("theta")), "op11-theta")
 
     # 3. MaxScore: non-essential terms are the cheapest prefix whose bounds stay under the threshold.
     order = Window.partitionBy("query").orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, 0)
@@ -131,17 +131,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     found = (postings.select("term", "_row", "doc_id", "impact", "block").join(essential, "term")
              .groupBy("query", "_row").agg(F.sum(F.col("qtf") * F.col("w") * F.col("impact")).alias("part"),
                                             F.first("block").alias("block"), F.first("doc_id").alias("doc_id")))
-    candidates = stored(found, "op11-candidates")
-
-    # 4. Block-max bound over the non-essential lists, then their postings for the survivors only.
-    rest = split.filter(~F.col("essential")).select("query", "term", "qtf", "w", "theta")
-    bounded = (candidates.join(rest, "query").join(blocks, ["term", "block"], "left")
-               .groupBy("query", "_row", "part").agg(
-                   F.sum(F.col("qtf") * F.col("w") * F.coalesce(F.col("top"), F.lit(0))).alias("extra"),
-                   F.first("theta").alias("theta")))
-    survivors = (candidates.join(bounded, ["query", "_row", "part"], "left")
-                 .filter(F.col("theta").isNull() | (F.col("part") + F.col("extra") >= F.col("theta")))
-                 .select("query", "_row", "doc_id", "part"))
+
+    # 4. Block-max bound over the non-essential lists: per (query, block) the sum of their block maxima, so a
+    # candidate meets one row; survivors then read those lists' postings, for their own rows only.
+    rest = split.filter(~F.col("essential")).select("query", "term", "qtf", "w")
+    reach = (rest.join(blocks, "term").groupBy("query", "block")
+             .agg(F.sum(F.col("qtf") * F.col("w") * F.col("top")).alias("extra")))
+    survivors = stored(
+        found.join(kth, "query", "left").join(reach, ["query", "block"], "left")
+        .filter(F.col("theta").isNull() | (F.col("part") + F.coalesce("extra", F.lit(0)) >= F.col("theta")))
+        .select("query", "_row", "doc_id", "part"), "op11-survivors")
     late = _exact(survivors.select("query", "_row"), rest.select("query", "term", "qtf"), postings, bounds)
     scored = (survivors.join(late.withColumnRenamed("score", "late"), ["query", "_row"], "left")
               .select("query", "_row", "doc_id",
