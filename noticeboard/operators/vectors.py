@@ -1,7 +1,10 @@
 """Query vectors x notice vectors: exact cosine ranking in matrix blocks.
 
 A block of query vectors is scored against an Arrow batch of notice vectors with one matrix
-product, and only each query's best k rows leave the task; pairs are never emitted.
+product, and only each query's best k rows leave the task; pairs are never emitted. Beyond one
+block, blocks are broadcast in turn and passed over the notices where they lie: vectors are never
+shuffled. A batch's pivot and widest angle bound its cosines, so queries whose k-th best is
+already above that bound skip it (counted in BOUNDS).
 """
 from __future__ import annotations
 
@@ -14,11 +17,10 @@ from pyspark.sql import DataFrame, functions as F
 from noticeboard.functions.scoring import COSINE_DIGITS
 from noticeboard.operators.sizing import is_small
 from noticeboard.schema import FILTER_COLUMNS
-from noticeboard.session import spread
+from noticeboard.session import settled, spread
 
 QUERY_BLOCK_ROWS = 4096
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
-NOTICE_GROUP_ROWS = 20_000
 NOTICE_SLICE_ROWS = 4096
 
 SCORED = "request_key string, k int, id string, date date, score double"
@@ -86,24 +88,50 @@ class BestRows:
         self.queries = queries
         self.rows: list[tuple | None] = [None] * len(queries.ids)
         self.floor = np.full(len(queries.ids), -np.inf)
+        self.skipped = 0                # (query, batch) pairs that a bound spared
+        self.pairs = 0                  # (query, batch) pairs met
+
+    def _reachable(self, unit: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        """Queries that some row of the batch may serve: a pivot (the rows' mean direction) and the widest
+        angle of a row from it bound every row's cosine with a query by cos(max(0, angle to pivot - widest))."""
+        q = self.queries
+        everyone = np.ones(len(q.ids), dtype=bool)
+        if not np.isfinite(self.floor).any() or zero.all():
+            return everyone
+        rows = unit[~zero]
+        pivot = rows.sum(axis=0)
+        norm = np.sqrt(pivot @ pivot)
+        if norm == 0:
+            return everyone
+        pivot /= norm
+        widest = np.arccos(np.clip((rows @ pivot).min(), -1.0, 1.0))
+        gap = np.arccos(np.clip(q.unit @ pivot, -1.0, 1.0)) - widest
+        bound = np.where(gap <= 0, 1.0, np.cos(np.clip(gap, 0.0, np.pi))) + 1e-9
+        return (bound >= self.floor) | q.zero
 
     def add(self, batch: pa.Table) -> None:
         q = self.queries
         unit, zero = _unit_rows(batch["embedding"])
         if not len(unit):
             return
-        scores = np.round(unit @ q.unit.T, COSINE_DIGITS) + 0.0
-        scores[zero, :] = -2.0          # below every cosine: unscored rows rank last
-        scores[:, q.zero] = -2.0
+        live = self._reachable(unit, zero)
+        self.pairs += len(live)
+        self.skipped += int((~live).sum())
+        if not live.any():
+            return
         days = _days(batch["date"].combine_chunks())
         ids = np.array(batch["id"].to_pylist(), dtype=str)
         for wanted, members in q.filter_groups:
+            members = members[live[members]]
+            if not len(members):
+                continue
             mask = _passing(batch, wanted)
             rows = np.arange(len(ids)) if mask is None else np.flatnonzero(mask)
             if not len(rows):
                 continue
-            block = scores[np.ix_(rows, members)] if mask is not None or len(members) < len(q.ids) \
-                else scores
+            block = np.round(unit[rows] @ q.unit[members].T, COSINE_DIGITS) + 0.0
+            block[zero[rows], :] = -2.0     # below every cosine: unscored rows rank last
+            block[:, q.zero[members]] = -2.0
             for j in np.flatnonzero(block.max(axis=0) >= self.floor[members]):
                 self._merge(members[j], block[:, j], days[rows], ids[rows])
 
@@ -137,46 +165,45 @@ class BestRows:
                 schema=_SCORED_ARROW)
 
 
+# Accumulators of the last search: (query, batch) pairs met and pairs that a cosine bound spared.
+BOUNDS: dict = {}
+
+
 def _nearest_broadcast(notices: DataFrame, queries: DataFrame) -> DataFrame:
     """The query block is within its bound: one pass over the notices, no shuffle of vectors."""
-    block = notices.sparkSession.sparkContext.broadcast(queries.toArrow())
+    context = notices.sparkSession.sparkContext
+    block = context.broadcast(queries.toArrow())
+    met, spared = BOUNDS.setdefault("pairs", context.accumulator(0)), BOUNDS.setdefault("skipped", context.accumulator(0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not block.value.num_rows:        # a hash block without queries
+            return
         best = BestRows(QueryBlock(block.value))
-        for batch in batches:
-            best.add(pa.Table.from_batches([batch]))
+        for start in batches:
+            table = pa.Table.from_batches([start])
+            for at in range(0, table.num_rows, NOTICE_SLICE_ROWS):
+                best.add(table.slice(at, NOTICE_SLICE_ROWS))
+        met.add(best.pairs)
+        spared.add(best.skipped)
         yield from best.batches()
 
     return notices.mapInArrow(score, SCORED)
 
 
-def _nearest_blocked(notices: DataFrame, queries: DataFrame, query_rows: int,
-                     group_rows: int) -> DataFrame:
-    """Any number of queries: notices and queries are cut into hash blocks of bounded size and each
-    block pair is one group. Ids are unique, so blocks are even."""
-    n_query_blocks = max(1, -(-queries.count() // query_rows))
-    n_notice_blocks = max(1, -(-notices.count() // group_rows))
-    left = (notices.withColumn("notice_block", F.pmod(F.xxhash64("id"), F.lit(n_notice_blocks)))
-            .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))
-                                                 .cast("array<bigint>"))))
-    right = (queries.withColumn("query_block", F.pmod(F.xxhash64("request_key"), F.lit(n_query_blocks)))
-             .withColumn("notice_block", F.explode(F.sequence(F.lit(0), F.lit(n_notice_blocks - 1))
-                                                   .cast("array<bigint>"))))
-
-    def score(notice_rows: pa.Table, query_rows_: pa.Table) -> pa.Table:
-        if not notice_rows.num_rows or not query_rows_.num_rows:
-            return _SCORED_ARROW.empty_table()
-        best = BestRows(QueryBlock(query_rows_))
-        for start in range(0, notice_rows.num_rows, NOTICE_SLICE_ROWS):
-            best.add(notice_rows.slice(start, NOTICE_SLICE_ROWS))
-        return pa.Table.from_batches(list(best.batches()), schema=_SCORED_ARROW)
-
-    keys = ("notice_block", "query_block")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCORED)
+def _nearest_passes(notices: DataFrame, queries: DataFrame, query_rows: int) -> DataFrame:
+    """Any number of queries: they are stored in blocks of query_rows, and each block is broadcast and passed
+    over the notices where they lie; vectors are never shuffled. Every pass keeps each query's best k per task."""
+    blocks = max(1, -(-queries.count() // query_rows))
+    stored = settled(queries.withColumn("_block", F.pmod(F.xxhash64("request_key"), F.lit(blocks))), "query-blocks")
+    passes = [_nearest_broadcast(notices, stored.filter(F.col("_block") == b).drop("_block")) for b in range(blocks)]
+    out = passes[0]
+    for more in passes[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def nearest(notices: DataFrame, queries: DataFrame, max_queries: int = QUERY_BLOCK_ROWS,
-            max_bytes: int = QUERY_BLOCK_BYTES, group_rows: int = NOTICE_GROUP_ROWS) -> DataFrame:
+            max_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Candidate rows (request_key, k, id, date, score): every query's best k of each slice of the
     notices, by cosine, among the rows its filters admit. The best k overall are among them.
 
@@ -190,6 +217,7 @@ def nearest(notices: DataFrame, queries: DataFrame, max_queries: int = QUERY_BLO
         F.col("request_key").cast("string").alias("request_key"), "vector", F.col("k").cast("int").alias("k"),
         *[f"want_{c}" for c in FILTER_COLUMNS])
     notices = spread(notices)
+    BOUNDS.clear()
     if is_small(queries, 4 * F.size("vector"), max_queries, max_bytes):
         return _nearest_broadcast(notices, queries)
-    return _nearest_blocked(notices, queries, max_queries, group_rows)
+    return _nearest_passes(notices, queries, max_queries)

@@ -132,11 +132,11 @@ def cosine_of(a, b):
     return -2.0 if na == 0 or nb == 0 else round(float(np.dot(a, b) / na / nb), 9)
 
 
-@pytest.mark.parametrize("max_queries, group_rows", [(4096, 20000), (2, 25)])
-def test_nearest_is_brute_force(spark, notices, max_queries, group_rows):
+@pytest.mark.parametrize("max_queries", [4096, 2])
+def test_nearest_is_brute_force(spark, notices, max_queries):
     rows = corpus()
     asked, frame = vector_requests(spark)
-    found = nearest(notices(rows).repartition(3), frame, max_queries=max_queries, group_rows=group_rows)
+    found = nearest(notices(rows).repartition(3), frame, max_queries=max_queries)
     got = {}
     for r in first_n(found, ["request_key"], best_first(), 100).filter("rank <= k") \
             .orderBy("request_key", "rank").collect():
@@ -211,3 +211,26 @@ def test_hot_groups_are_cut_before_the_shuffle(spark, notices):
         ._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_bounds_skip_far_batches_and_stay_exact(spark, notices, monkeypatch):
+    import noticeboard.operators.vectors as V
+    monkeypatch.setattr(V, "NOTICE_SLICE_ROWS", 8)
+    rng = np.random.default_rng(2)
+    centre = {"a": rng.normal(size=8), "b": -rng.normal(size=8)}
+    rows = [{"id": f"{c}{i}", "title": "t", "fulltext": "x", "date": date(2020, 1, 1 + i % 20),
+             "event_category": "liquidation", "action_taken": "a", "code": "ds", "significance_score": 5,
+             "embedding": [float(x) for x in centre[c] + 0.01 * rng.normal(size=8)]}
+            for c in "ab" for i in range(64)]
+    asked = [(f"q{c}{i}", [float(x) for x in centre[c] + 0.01 * rng.normal(size=8)], 3) for c in "ab" for i in range(4)]
+    schema = ("request_key string, vector array<float>, k int, " + ", ".join(
+        f"want_{c} {t}" for c, t in zip(FILTER_COLUMNS, ("string", "string", "string", "date", "date", "int"))))
+    frame = spark.createDataFrame([(key, v, k, None, None, None, None, None, None) for key, v, k in asked], schema)
+    found = nearest(notices(rows).coalesce(1), frame, max_queries=3)
+    got = {}
+    for r in first_n(found, ["request_key"], best_first(), 100).filter("rank <= k").orderBy("request_key", "rank").collect():
+        got.setdefault(r["request_key"], []).append(r["id"])
+    for key, vector, k in asked:
+        want = sorted(rows, key=lambda r: (-cosine_of(r["embedding"], vector), newest_key(r)))[:k]
+        assert got[key] == [r["id"] for r in want], key
+    assert V.BOUNDS["skipped"].value > 0 and V.BOUNDS["skipped"].value < V.BOUNDS["pairs"].value
