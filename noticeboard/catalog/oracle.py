@@ -464,6 +464,10 @@ ORACLE: dict[str, str] = {
            category AS event_category, action AS action_taken, title AS parties, rule_score AS score,
            'by notice type' AS significance_reason FROM ruled""",
 
+    "journaled_annotations": with_fixtures("notices") + f""", {_RULED}
+    SELECT id, title AS headline, category AS event_category,
+           CAST(CASE WHEN length(coalesce(title, '')) % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS tries FROM ruled""",
+
     "annotation_write_back": with_fixtures("docs") + f""", {_ANSWERS}
     SELECT d.id, CASE WHEN fill THEN a.headline ELSE d.headline END AS headline,
            CASE WHEN fill THEN a.event_category ELSE d.event_category END AS event_category,

@@ -13,6 +13,7 @@ from noticeboard.functions import annotations as A, clients as C, records as R,
 from noticeboard.operators import (annotate as N, entities as E, filters as P, requests as L,
                                    stats as S, topn, upsert as U)
 from noticeboard.operators.phrases import match_phrases
+from noticeboard.operators import journal as J
 from noticeboard.operators.postings import occurrences, phrase_index
 from noticeboard.operators.vectors import nearest
 from noticeboard.plans import search as Q
@@ -523,6 +524,27 @@ def rule_annotations(spark, sf):
         F.col("significance_score").cast("long").alias("score"), "significance_reason")
 
 
+def _refusing_fifth(code, title, prompt):
+    """An annotator that refuses every title whose length is a multiple of five."""
+    if len(title or "") % 5 == 0:
+        raise ValueError("refused")
+    return N.rule_annotator(code, title, prompt)
+
+
+@query
+def journaled_annotations(spark, sf):
+    """Two runs over all unannotated notices with a journal: the first refuses some titles, the second asks
+    only those again; every notice ends answered, with its number of attempts."""
+    rows = G.build_notices(X.raw_records(spark, sf)).withColumn(
+        "enriched_at", F.lit(None).cast("timestamp"))
+    path = work_dir(spark, "annotation-journal")
+    N.annotate(rows, _refusing_fifth, journal=path)
+    answered = N.annotate(rows, journal=path)
+    tries = J.state(J.read_journal(spark, path), 3).select(F.col("key").alias("id"), "tries")
+    return answered.join(tries, "id").select("id", "headline", "event_category",
+                                             F.col("tries").cast("long").alias("tries"))
+
+
 @query
 def annotation_write_back(spark, sf):
     """Answers reach pending rows only."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from noticeboard.fixed_values import EMBED_ATTEMPTS, EMBED_BATCH
 from noticeboard.functions.annotations import annotator_input, parse_annotation, shape_parsed
 from noticeboard.operators.filters import pending_annotation, pending_embedding
+from noticeboard.operators.journal import ask_journaled
 from noticeboard.schema import ANNOTATION_COLUMNS
 from noticeboard.session import settled, spread
 
@@ -44,9 +45,24 @@ def rule_annotator(code: str | None, title: str | None, prompt: str) -> str:
 
 
 def annotate(notices: DataFrame, fn: Callable[[str | None, str | None, str], str] = rule_annotator,
-             limit: int | None = None) -> DataFrame:
+             limit: int | None = None, journal: str | None = None, attempts: int = 3) -> DataFrame:
     """Annotations (id + annotation columns) of pending rows. A row whose call fails or whose answer
-    is unusable is left out, so it stays pending for the next run."""
+    is unusable is left out, so it stays pending for the next run. With a journal folder, answers are
+    committed there slice by slice and asked once: a run that fails keeps what was answered, a failing row
+    is asked again in later runs until `attempts` are spent (see operators/journal.py); `limit` bounds the
+    questions asked in one run."""
+    if journal is not None:
+        pending = pending_annotation(notices).select("id", F.to_json(F.struct(
+            "code", "title", annotator_input(F.col("type"), F.col("title"), F.col("fulltext")).alias("prompt")))
+            .alias("input"))
+
+        def ask(text: str) -> str:
+            asked = json.loads(text)
+            return fn(asked.get("code"), asked.get("title"), asked["prompt"])
+        raw = ask_journaled(pending.withColumnRenamed("id", "key"), ask, journal, attempts, limit=limit)
+        parsed = raw.select(F.col("key").alias("id"), parse_annotation(F.col("answer")).alias("a")).filter("a is not null")
+        return parsed.select("id", *[F.col(f"a.{c}").alias(c) for c in ANNOTATION_COLUMNS
+                                     if c != "enriched_at"], F.current_timestamp().alias("enriched_at"))
     pending = pending_annotation(notices, limit).select(
         "id", "code", "title", annotator_input(F.col("type"), F.col("title"), F.col("fulltext"))
         .alias("prompt"))
