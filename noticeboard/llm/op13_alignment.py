@@ -44,6 +44,7 @@ A_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 B_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GALLOP = 64          # values of the shorter list bracketed by one gallop
 SALTS = 32           # salts of the pair-count join beyond the broadcast bound
+CHUNK_BYTES = 1 << 20   # text encoded at once in a task
 
 ALIGNED = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                      ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
@@ -154,34 +155,54 @@ def groups_text(a_ids, b_ids, ga, gb, names) -> str:
     return ";".join(out)
 
 
+def _chunk(v: Vocabularies, texts: list, batch: pa.RecordBatch) -> pa.RecordBatch:
+    todo = [i for i, t in enumerate(texts) if t]
+    enc_a = v.a.encode_batch([" " + texts[i] for i in todo], add_special_tokens=False) if todo else []
+    enc_b = v.b.encode([texts[i] for i in todo]) if todo else []
+    out = {k: [0] * len(texts) for k in ("n_a", "n_b", "n_groups", "n_links")}
+    sha, links = [""] * len(texts), [[] for _ in texts]
+    for i, ea, eb in zip(todo, enc_a, enc_b):
+        a_ids, b_ids = np.array(ea.ids, np.int64), np.array(eb, np.int64)
+        whole = (" " + texts[i]).encode()
+        if (int(v.a_len[a_ids].sum()) != len(whole) or int(v.b_len[b_ids].sum()) != len(whole)
+                or b"".join([v.a_bytes[j] for j in a_ids.tolist()]) != whole
+                or b"".join([v.b_bytes[j] for j in eb]) != whole):
+            continue
+        ga, gb = align_ids(a_ids, b_ids, v.a_len, v.b_len)
+        a, b, mult = links_of(a_ids, b_ids, ga, gb)
+        out["n_a"][i], out["n_b"][i], out["n_groups"][i] = len(a_ids), len(b_ids), len(ga)
+        out["n_links"][i] = int((ga * gb).sum())
+        sha[i] = hashlib.sha256(groups_text(a_ids, b_ids, ga, gb, v.names).encode()).hexdigest()
+        links[i] = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()),
+                                               pa.array(mult, pa.int64())], names=["a", "b", "mult"])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in links])]).astype(np.int32)
+    parts = [x for x in links if len(x)]
+    values = pa.concat_arrays(parts) if parts else pa.array([], ALIGNED.field("links").type.value_type)
+    return pa.RecordBatch.from_pydict({
+        "_row": batch.column("_row"), "doc_id": batch.column("doc_id"),
+        **{k: pa.array(x, pa.int64()) for k, x in out.items()},
+        "groups_sha256": pa.array(sha, pa.string()),
+        "links": pa.ListArray.from_arrays(pa.array(offsets), values)}, schema=ALIGNED)
+
+
 def _aligned(a_vocab: str, b_model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(a_vocab, b_model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            todo = [i for i, t in enumerate(texts) if t]
-            enc_a = v.a.encode_batch([" " + texts[i] for i in todo], add_special_tokens=False) if todo else []
-            enc_b = v.b.encode([texts[i] for i in todo]) if todo else []
-            out = {k: [0] * len(texts) for k in ("n_a", "n_b", "n_groups", "n_links")}
-            sha, links = [""] * len(texts), [[] for _ in texts]
-            for i, ea, eb in zip(todo, enc_a, enc_b):
-                a_ids, b_ids = np.array(ea.ids, np.int64), np.array(eb, np.int64)
-                whole = (" " + texts[i]).encode()
-                if (int(v.a_len[a_ids].sum()) != len(whole) or int(v.b_len[b_ids].sum()) != len(whole)
-                        or b"".join([v.a_bytes[j] for j in ea.ids]) != whole
-                        or b"".join([v.b_bytes[j] for j in eb]) != whole):
-                    continue
-                ga, gb = align_ids(a_ids, b_ids, v.a_len, v.b_len)
-                a, b, mult = links_of(a_ids, b_ids, ga, gb)
-                out["n_a"][i], out["n_b"][i], out["n_groups"][i] = len(a_ids), len(b_ids), len(ga)
-                out["n_links"][i] = int((ga * gb).sum())
-                sha[i] = hashlib.sha256(groups_text(a_ids, b_ids, ga, gb, v.names).encode()).hexdigest()
-                links[i] = [{"a": x, "b": y, "mult": z} for x, y, z in zip(a.tolist(), b.tolist(), mult.tolist())]
-            yield pa.RecordBatch.from_pydict({
-                "_row": batch.column("_row"), "doc_id": batch.column("doc_id"),
-                **{k: pa.array(x, pa.int64()) for k, x in out.items()},
-                "groups_sha256": pa.array(sha, pa.string()), "links": pa.array(links, ALIGNED.field("links").type)},
-                schema=ALIGNED)
+            # Chunks of at most CHUNK_BYTES of text (one text at least) are encoded and sent on one by one,
+            # so that tokens of a whole Arrow batch never sit in memory at once.
+            size = np.array([len(t) if t else 0 for t in texts], np.int64)
+            cuts, held = [0], 0
+            for i, n in enumerate(size):
+                if held and held + n > CHUNK_BYTES:
+                    cuts.append(i)
+                    held = 0
+                held += n
+            cuts.append(len(texts))
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    yield _chunk(v, texts[lo:hi], batch.slice(lo, hi - lo))
     return run
 
 
