@@ -52,20 +52,30 @@ def _gram_keys(text: Column, sizes: tuple[int, ...]) -> Column:
     return F.array_distinct(keys)
 
 
-def match_names(titles: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, title) pairs with the name inside the title, over distinct names and titles.
+LONGEST_GRAM = 64
+
+
+def _gram_size(run: str) -> Column:
+    """Length of the grams a literal run is looked up by: its own up to 3, then the largest power of two in it."""
+    return F.expr(f"CASE WHEN length({run}) < 4 THEN length({run}) "
+                  f"ELSE least({LONGEST_GRAM}, shiftleft(1, length(bin(length({run}))) - 1)) END")
+
+
+def name_candidates(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, title) pairs, once each, that hold every pair with the name inside the title; names and titles distinct.
 
     A title can only hold a name if it holds the name's character grams, so each name is looked up
-    by one gram - the one the fewest titles have - and then checked in full. Names too short for
-    three-letter grams use shorter ones; a name without any literal character meets every title.
+    by one gram - the one the fewest titles have. Grams are as long as a
+    power of two allows, so that candidates follow the matches: the titles that share three letters
+    grow with the table, those that share half of a name or more are few. A title emits grams of the
+    sizes in use only; a name without any literal character meets every title.
     """
     longest = F.reduce(_literal_runs(F.col("name")), F.lit(""),
                        lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best))
-    sized = names.withColumn("_run", longest).withColumn(
-        "_n", F.least(F.length("_run"), F.lit(3)))
-    sizes = tuple(sorted(r["_n"] for r in sized.select("_n").distinct().limit(4).collect()))
+    sized = names.withColumn("_run", longest).withColumn("_n", _gram_size("_run"))
+    sizes = tuple(sorted(r["_n"] for r in sized.select("_n").distinct().collect()))    # 0 to 3, powers of two
     by_size = F.array(F.lit(""))
-    for n in (1, 2, 3):
+    for n in filter(None, sizes):
         by_size = F.when(F.col("_n") == n, _grams(F.col("_run"), n)).otherwise(by_size)
     name_grams = sized.select("name", F.explode(F.array_distinct(by_size)).alias("_gram"))
     title_grams = titles.select("title", F.explode(_gram_keys(F.lower("title"), sizes)).alias("_gram"))
@@ -80,8 +90,12 @@ def match_names(titles: DataFrame, names: DataFrame) -> DataFrame:
                .select("name", F.col("pick._gram").alias("_gram")))
     if is_small(names, 4 * F.length("name") + F.lit(64)):
         anchors = F.broadcast(anchors)      # one row per name, so within the same bound
-    return (title_grams.join(anchors, "_gram").filter(name_like(F.col("title"), F.col("name")))
-            .select("name", "title"))
+    return title_grams.join(anchors, "_gram").select("name", "title")
+
+
+def match_names(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, title) pairs with the name inside the title, over distinct names and titles."""
+    return name_candidates(titles, names).filter(name_like(F.col("title"), F.col("name")))
 
 
 def _timeline_by_name(notices: DataFrame, entities: DataFrame, k: int) -> DataFrame:

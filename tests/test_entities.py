@@ -4,7 +4,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from noticeboard.operators.entities import related, timeline
+from noticeboard.operators.entities import match_names, name_candidates, related, timeline
 from noticeboard.plans.dossier import dossier
 
 
@@ -89,3 +89,23 @@ def test_no_cross_joins(spark, notices):
     entities = spark.createDataFrame(ENTITIES, "entity_id int, nzbn string, company_number string, name string")
     plan = timeline(notices(world()), entities)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_name_candidates_follow_the_matches(spark):
+    """Titles that share every three letters with many others: candidates stay near one a name."""
+    n = 2000
+    titles = spark.range(n).selectExpr("format_string('Customer#%09d', id) AS title")
+    names = spark.range(n).selectExpr("format_string('customer#%09d', id) AS name")
+    assert name_candidates(titles, names).count() <= 2 * n
+    assert match_names(titles, names).filter("lower(title) = name").count() == n
+
+
+def test_names_of_every_length(spark):
+    text = "abcdefghijklmnopqrstuvwxyz0123456789" * 4
+    titles = spark.createDataFrame([(text,), (text[5:],), (text[::-1],)], "title string")
+    lengths = [0, 1, 2, 3, 4, 5, 7, 8, 15, 16, 17, 63, 64, 65, 140]
+    cut = [text[2:2 + n] for n in lengths] + [text[:60] + "%" + text[70:90]]
+    names = spark.createDataFrame([(c,) for c in cut], "name string")
+    got = {(r["name"], r["title"]) for r in match_names(titles, names).collect()}
+    held = lambda name, title: all(part in title for part in name.split("%"))
+    assert got == {(c, t["title"]) for c in cut for t in titles.collect() if held(c, t["title"])}
