@@ -7,6 +7,7 @@ from noticeboard.fixed_values import RELATED_LIMIT, TIMELINE_LIMIT
 from noticeboard.operators.filters import name_like
 from noticeboard.operators.sizing import is_small
 from noticeboard.operators.topn import first_n, newest_first, oldest_first
+from noticeboard.session import settled
 
 
 def compact(df: DataFrame, keep_title: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -129,38 +130,38 @@ def party_postings(notices: DataFrame) -> DataFrame:
     return notices.select(F.explode(parties).alias("party"), "id", "date")
 
 
-_LAST_DAY = 2932896      # 9999-12-31 as days since 1970
-_DAY_DIGITS = 7
-
-
-def _newest_key() -> Column:
-    """Text that sorts as newest_first() does: days left until the last day, then the id."""
-    left = F.lit(_LAST_DAY + 1) - F.unix_date("date")
-    return F.concat(F.lpad(F.coalesce(left, F.lit(0)).cast("string"), _DAY_DIGITS, "0"), F.col("id"))
-
-
-def _id_of(key: Column) -> Column:
-    return F.substr(key, F.lit(_DAY_DIGITS + 1))
-
-
 def related(notices: DataFrame, seeds: DataFrame, k: int = RELATED_LIMIT) -> DataFrame:
     """Other notices naming any party of each seed notice, once each, newest first, k per seed.
 
     Of one party only its newest k+1 notices can reach any seed's list (one of them may be the seed
     itself), so postings are cut to that before they meet the seeds. A party named in a third of
     all notices costs k+1 keys per seed, not all its notices, and a seed's lists merge in its row.
+    The kept notices are numbered in the order of the lists: lists hold 8-byte numbers, and only the
+    kept notices' columns meet the winners. The seeds are laid out by id before their parties' lists
+    are handed to them, so that lists within the broadcast bounds are merged without a shuffle.
 
     seeds: id. Result: seed_id, rank and the compact columns.
     """
-    postings = party_postings(notices)
-    newest = (first_n(postings, ["party"], newest_first(), k + 1)
-              .groupBy("party").agg(F.collect_list(_newest_key()).alias("newest")))   # k + 1 at most
-    seed_parties = (party_postings(notices.join(seeds.select("id").distinct(), "id", "left_semi"))
-                    .select("party", F.col("id").alias("seed_id")))
-    met = (seed_parties.join(newest, "party").groupBy("seed_id")
-           .agg(F.array_distinct(F.flatten(F.collect_list("newest"))).alias("met")))
-    others = F.filter("met", lambda key: _id_of(key) != F.col("seed_id"))
-    best = met.select("seed_id", F.posexplode(F.slice(F.sort_array(others), 1, k)).alias("pos", "key"))
-    best = best.select("seed_id", (F.col("pos") + 1).alias("rank"), _id_of(F.col("key")).alias("id"))
-    rows = notices.select("id", "date", "headline", "event_category", "significance_score")
-    return compact(best.join(rows, "id"), extra=("seed_id", "rank"))
+    rows = settled(notices.select("id", "date", "headline", "event_category", "significance_score",
+                                  "affected_parties"), "related-notices")
+    kept = settled(first_n(party_postings(rows), ["party"], newest_first(), k + 1)
+                   .filter(F.col("id").isNotNull()).select("party", "id", "date"), "party-newest")
+    numbered = settled(kept.select("id", "date").distinct().orderBy(*newest_first())
+                       .withColumn("_no", F.monotonically_increasing_id()), "numbered")
+    same = (F.col("a.id") == F.col("b.id")) & F.col("a.date").eqNullSafe(F.col("b.date"))
+    newest = settled(kept.alias("a").join(numbered.alias("b"), same).groupBy("party")
+                     .agg(F.collect_list("_no").alias("newest")), "party-lists")               # k + 1 at most
+    own = numbered.groupBy("id").agg(F.collect_list("_no").alias("own"))
+    asked = (rows.select("id", "date", "affected_parties")
+             .join(seeds.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+             .join(own.hint("shuffle_hash"), "id", "left"))
+    parties = F.array_distinct(F.array_compact(F.col("affected_parties")))
+    seed_parties = asked.select(F.col("id").alias("seed_id"), "own", F.explode(parties).alias("party"))
+    small = is_small(newest, 8 * F.size("newest") + 4 * F.length("party"))
+    met = (seed_parties.join(F.broadcast(newest) if small else newest.hint("shuffle_hash"), "party").groupBy("seed_id")
+           .agg(F.flatten(F.collect_list("newest")).alias("met"), F.first("own").alias("own")))
+    others = F.array_except("met", F.coalesce("own", F.array().cast("array<bigint>")))      # distinct as well
+    best = met.select("seed_id", F.posexplode(F.slice(F.sort_array(others), 1, k)).alias("pos", "_no"))
+    best = best.select("seed_id", (F.col("pos") + 1).alias("rank"), "_no")
+    wide = numbered.select("id", "_no").join(rows.drop("affected_parties"), "id")
+    return compact(best.join(wide.hint("shuffle_hash"), "_no"), extra=("seed_id", "rank"))
