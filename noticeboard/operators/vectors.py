@@ -22,6 +22,7 @@ from noticeboard.session import settled, spread
 QUERY_BLOCK_ROWS = 4096
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 NOTICE_SLICE_ROWS = 4096
+QUERY_TILE_ROWS = 256       # queries scored at once in a task: NOTICE_SLICE_ROWS times this many cosines in memory
 
 SCORED = "request_key string, k int, id string, date date, score double"
 _SCORED_ARROW = pa.schema([("request_key", pa.string()), ("k", pa.int32()), ("id", pa.string()),
@@ -129,11 +130,21 @@ class BestRows:
             rows = np.arange(len(ids)) if mask is None else np.flatnonzero(mask)
             if not len(rows):
                 continue
-            block = np.round(unit[rows] @ q.unit[members].T, COSINE_DIGITS) + 0.0
-            block[zero[rows], :] = -2.0     # below every cosine: unscored rows rank last
-            block[:, q.zero[members]] = -2.0
-            for j in np.flatnonzero(block.max(axis=0) >= self.floor[members]):
-                self._merge(members[j], block[:, j], days[rows], ids[rows])
+            passed = (unit[rows], zero[rows], days[rows], ids[rows]) if mask is not None else (unit, zero, days, ids)
+            for at in range(0, len(members), QUERY_TILE_ROWS):
+                self._score(members[at:at + QUERY_TILE_ROWS], *passed)
+
+    def _score(self, members: np.ndarray, unit: np.ndarray, zero: np.ndarray, days: np.ndarray,
+               ids: np.ndarray) -> None:
+        """One tile of queries against the rows; the cosines are rounded in place."""
+        q = self.queries
+        block = unit @ q.unit[members].T
+        np.round(block, COSINE_DIGITS, out=block)
+        block += 0.0
+        block[zero, :] = -2.0       # below every cosine: unscored rows rank last
+        block[:, q.zero[members]] = -2.0
+        for j in np.flatnonzero(block.max(axis=0) >= self.floor[members]):
+            self._merge(members[j], block[:, j], days, ids)
 
     def _merge(self, i: int, score: np.ndarray, days: np.ndarray, ids: np.ndarray) -> None:
         keep = score >= self.floor[i]
