@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from noticeboard.session import settled, spread
+from noticeboard.session import settled, spread, work_dir
 
 JOURNAL = "key string, input_hash string, attempt int, answer string, error string"
 SLICE_ROWS = 10_000
@@ -39,6 +39,16 @@ def state(journal: DataFrame, attempts: int) -> DataFrame:
         "spent", F.col("answer").isNull() & (F.col("tries") >= attempts))
 
 
+def _sliced(open_: DataFrame, slices: int) -> list[DataFrame]:
+    """The open questions dealt once into a folder per slice, so that a slice reads its own rows and no others."""
+    path = work_dir(open_.sparkSession, "journal-slices")
+    (open_.withColumn("_part", F.pmod(F.xxhash64("key", "input_hash"), F.lit(slices)).cast("int"))
+     .repartition("_part").write.partitionBy("_part").parquet(path))
+    read = open_.sparkSession.read
+    held = sorted(r["_part"] for r in read.parquet(path).select("_part").distinct().collect())
+    return [read.schema(open_.schema).parquet(f"{path}/_part={part}") for part in held]
+
+
 def ask_journaled(rows: DataFrame, ask: Callable[[str], str], path: str, attempts: int = 3,
                   slice_rows: int = SLICE_ROWS, limit: int | None = None) -> DataFrame:
     """(key, answer) of rows(key, input) whose question has an answer, old or new. Open questions (no answer,
@@ -56,6 +66,7 @@ def ask_journaled(rows: DataFrame, ask: Callable[[str], str], path: str, attempt
     open_ = settled(open_, "journal-open")          # one snapshot of the open questions for all slices
     n_open = open_.count()
     slices = max(1, -(-n_open // slice_rows))
+    parts = [open_] if slices == 1 else _sliced(open_, slices)
 
     def answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,8 +81,7 @@ def ask_journaled(rows: DataFrame, ask: Callable[[str], str], path: str, attempt
             yield pd.DataFrame({"key": frame["key"], "input_hash": frame["input_hash"],
                                 "attempt": frame["attempt"].astype("int32"), "answer": got, "error": errors})
 
-    for part in range(slices):
-        chosen = open_.filter(F.pmod(F.xxhash64("key", "input_hash"), F.lit(slices)) == part) if slices > 1 else open_
+    for chosen in parts:
         spread(chosen).mapInPandas(answers, JOURNAL).write.mode("append").parquet(path)
     final = state(read_journal(spark, path), attempts).filter(F.col("answer").isNotNull())
     return questions.join(final, ["key", "input_hash"]).select("key", "answer")
