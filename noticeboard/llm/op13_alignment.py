@@ -42,7 +42,7 @@ from noticeboard.llm.tables import BROADCAST_ROWS, stored
 
 A_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 B_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-GALLOP = 64          # values of the shorter list bracketed by one gallop
+GALLOP = 1024        # values of the shorter list bracketed by one gallop
 SALTS = 32           # salts of the pair-count join beyond the broadcast bound
 CHUNK_BYTES = 1 << 20   # text encoded at once in a task
 
@@ -83,7 +83,7 @@ class Vocabularies:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.names = [f"{i}{end}" for end in ",|;" for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
 
 
 @lru_cache(maxsize=2)
@@ -146,13 +146,16 @@ def links_of(a_ids: np.ndarray, b_ids: np.ndarray, ga: np.ndarray, gb: np.ndarra
 
 
 def groups_text(a_ids, b_ids, ga, gb, names) -> str:
-    """'a1,a2|b1;a3|b2,b3' of the groups."""
+    """'a1,a2|b1;a3|b2,b3' of the groups; names: every id's text followed by ',', then by '|', then by ';'."""
     ends_a, ends_b = np.cumsum(ga), np.cumsum(gb)
-    out = []
-    for k in range(len(ga)):
-        out.append(",".join([names[i] for i in a_ids[ends_a[k] - ga[k]:ends_a[k]].tolist()]) + "|"
-                   + ",".join([names[i] for i in b_ids[ends_b[k] - gb[k]:ends_b[k]].tolist()]))
-    return ";".join(out)
+    size = len(names) // 3
+    order = np.empty(len(a_ids) + len(b_ids), np.int64)
+    # A token stands behind the B tokens of the groups before its own, a B token behind the A tokens up to its own.
+    order[np.arange(len(a_ids)) + np.repeat(ends_b - gb, ga)] = a_ids
+    order[np.arange(len(b_ids)) + np.repeat(ends_a, gb)] = b_ids
+    order[ends_a + ends_b - gb - 1] += size
+    order[ends_a + ends_b - 1] += 2 * size
+    return "".join(map(names.__getitem__, order.tolist()))[:-1]
 
 
 def _chunk(v: Vocabularies, texts: list, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,8 +168,8 @@ def _chunk(v: Vocabularies, texts: list, batch: pa.RecordBatch) -> pa.RecordBatc
         a_ids, b_ids = np.array(ea.ids, np.int64), np.array(eb, np.int64)
         whole = (" " + texts[i]).encode()
         if (int(v.a_len[a_ids].sum()) != len(whole) or int(v.b_len[b_ids].sum()) != len(whole)
-                or b"".join([v.a_bytes[j] for j in a_ids.tolist()]) != whole
-                or b"".join([v.b_bytes[j] for j in eb]) != whole):
+                or b"".join(map(v.a_bytes.__getitem__, a_ids.tolist())) != whole
+                or b"".join(map(v.b_bytes.__getitem__, eb)) != whole):
             continue
         ga, gb = align_ids(a_ids, b_ids, v.a_len, v.b_len)
         a, b, mult = links_of(a_ids, b_ids, ga, gb)
