@@ -59,7 +59,7 @@ def index(docs: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame,
     postings: _row, doc_id, term, tf, impact, block; bounds: term, w, top; blocks: term, block, top.
     A document's terms are sorted and counted by their runs inside its own row, so postings leave the scan
     without a shuffle; each document keeps one row for N and L besides; term bounds come from block bounds."""
-    sorted_terms = F.array_sort(terms(F.col("text")))
+    sorted_terms = F.sort_array(terms(F.col("text")))     # array_sort compares by an interpreted lambda
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", sorted_terms.alias("_t"))
     n = F.size("_t")
     ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (
