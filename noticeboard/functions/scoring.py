@@ -31,9 +31,13 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """1 - cosine distance; null for a zero vector."""
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """1 - cosine distance; null for a zero vector. Norms taken once per vector may be given."""
+    norms = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     return F.round(_dot(a, b) / F.nullif(norms, F.lit(0.0)), COSINE_DIGITS)
 
 

@@ -46,7 +46,8 @@ def match_phrases(notices: DataFrame, phrases: DataFrame, words_col: str = "word
     table = phrases if "anchor" in phrases.columns else settled(anchored(phrases, words_col), "phrases")
     small = is_small(table, F.length(F.to_json(F.struct("*"))), max_rows, max_bytes)
     texts = notices.withColumn("spaced_text", spaced(F.col("tokens")))
-    keys = F.array_distinct(F.concat(F.col("tokens"), _word_pairs(F.col("tokens"))))
+    single = table.filter(F.size(words_col) > 1).isEmpty()      # then no anchor is a pair
+    keys = F.array_distinct(F.col("tokens") if single else F.concat(F.col("tokens"), _word_pairs(F.col("tokens"))))
     holds = F.contains(F.col("spaced_text"), F.col("phrase"))
     if small:
         return (texts.withColumn("_key", F.explode(keys))

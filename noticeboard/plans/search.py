@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from noticeboard.fixed_values import (COMPACT_SEARCH_LIMIT, DEFAULT_LIMIT, KEYWORD_BONUS, MAX_LIMIT, RANK_WEIGHT)
 from noticeboard.functions.annotations import merge_filter
-from noticeboard.functions.scoring import (cosine, length_penalty, phrase_rank, significance_boost)
+from noticeboard.functions.scoring import (cosine, length_penalty, norm, phrase_rank, significance_boost)
 from noticeboard.functions.text import (has_phrase, is_sentence, overlaps_itself, phrase_count,
                                         phrases, spaced, words)
 from noticeboard.operators.annotate import embed_texts, parse_queries
@@ -112,23 +112,24 @@ def score_of(occurrences_col: Column) -> Column:
             - length_penalty(F.col("n_chars")))
 
 
-def keyword_index(notices: DataFrame) -> PhraseIndex:
-    """The positional index of notices with the ranking columns beside it: built once, read by searches."""
-    return phrase_index(rankable(notices))
+def keyword_index(notices: DataFrame, phrases: DataFrame | None = None) -> PhraseIndex:
+    """The positional index of notices with the ranking columns beside it: built once, read by searches. With
+    phrases(words), it answers those only."""
+    return phrase_index(rankable(notices), phrases=phrases)
 
 
 def keyword_search(notices: DataFrame | PhraseIndex, requests: DataFrame) -> DataFrame:
     """Phrase search for a table of requests: (query_id, id, date, score, rank, position).
 
-    Occurrences come from the positional index (built here from a notices table, or given), so the search
+    Occurrences come from the positional index (given, or built here for these requests), so the search
     reads postings of the requests' words and the ranking columns, never the texts. Requests that ask the
     same are answered once and the answer, at most MAX_LIMIT rows, is handed to each of them; requests
     without words match nothing."""
-    index = notices if isinstance(notices, PhraseIndex) else keyword_index(notices)
     asked = prepared(requests).withColumn("words", words(F.col("q")))
     asked = settled(asked.withColumn("request_key", _request_key("words")).drop("q")
                     .filter(F.size("words") > 0), "requests")
     distinct = asked.drop("query_id").dropDuplicates(["request_key"])
+    index = notices if isinstance(notices, PhraseIndex) else keyword_index(notices, distinct.select("words"))
     found = bounded_occurrences(index, distinct)
     hits = with_keyword_score(
         found.join(index.rows, "_row").join(distinct.drop("words"), "request_key"),
@@ -139,20 +140,23 @@ def keyword_search(notices: DataFrame | PhraseIndex, requests: DataFrame) -> Dat
 
 
 def _keyword_hits(notices: DataFrame, asked: DataFrame) -> DataFrame:
-    """Best k notices of each request among those that hold one of its keywords."""
+    """Best k notices of each request among those that hold one of its keywords; norms are taken once per vector."""
+    asked = asked.withColumn("_vector_norm", norm(F.col("vector")))
+    notices = notices.withColumn("_norm", norm(F.col("embedding")))
     lists = asked.withColumn("_lists", phrases(F.coalesce("keywords", F.array().cast("array<string>"))))
-    table = (lists.select("request_key", "k", "vector", *[f"want_{c}" for c in FILTER_COLUMNS],
+    table = (lists.select("request_key", "k", "vector", "_vector_norm", *[f"want_{c}" for c in FILTER_COLUMNS],
                           F.transform("_lists", spaced).alias("_all"),
                           F.posexplode("_lists").alias("_at", "words"))
              .withColumn("_earlier", F.slice("_all", F.lit(1), F.col("_at"))).drop("_all", "_at"))
     # A notice with several of the keywords counts at the first one only.
     first_hit = ~F.exists("_earlier", lambda p: F.contains(F.col("spaced_text"), p))
     small = is_small(asked, 4 * F.size("vector"), QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES)
-    found = match_phrases(notices, table if small else table.drop("vector")) \
+    found = match_phrases(notices, table if small else table.drop("vector", "_vector_norm")) \
         .filter(request_filter() & first_hit)
     if not small:
-        found = found.join(asked.select("request_key", "vector"), "request_key")
-    scored = (found.withColumn("score", cosine(F.col("embedding"), F.col("vector")))
+        found = found.join(asked.select("request_key", "vector", "_vector_norm"), "request_key")
+    score = cosine(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_vector_norm"))
+    scored = (found.withColumn("score", score)
               .select("request_key", "k", "id", "date", "score"))
     return (first_n(scored, ["request_key"], best_first(), MAX_LIMIT)
             .filter(F.col("rank") <= F.col("k"))
