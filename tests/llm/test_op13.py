@@ -80,3 +80,11 @@ def test_gallop_intersect_agrees_with_sets():
         t = np.unique(rng.integers(0, 5000, m))
         i, j = op13.gallop_intersect(s, t)
         assert (s[i] == t[j]).all() and sorted(s[i].tolist()) == sorted(set(s.tolist()) & set(t.tolist()))
+
+
+def test_groups_text_by_endings():
+    import numpy as np
+    from noticeboard.llm.op13_alignment import groups_text
+    names = [f"{i}{end}" for end in ",|;" for i in range(10)]
+    a, b = np.array([1, 2, 3]), np.array([4, 5, 6, 7])
+    assert groups_text(a, b, np.array([2, 1]), np.array([1, 3]), names) == "1,2|4;3|5,6,7"
