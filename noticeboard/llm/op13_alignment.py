@@ -6,6 +6,11 @@ space itself. A token's bytes: A's entry through the byte-level alphabet; B's pi
 space and <0xHH> as the byte HH. A text whose joined A or B bytes differ from " " + text in UTF-8 (or a null or
 empty text) has no tokens and zeros everywhere.
 
+Encoding: a chunk's texts are cut in front of spaces that follow a character which is neither white space nor
+U+2581. No token of either vocabulary crosses such a cut (checked when the vocabularies are loaded; where it does
+not hold, a unit is a whole text), so a text's ids are those of its units, and each distinct unit is encoded once
+and remembered, until there are KNOWN_UNITS of them or they hold KNOWN_LETTERS characters.
+
 Per document (in Python, inside Arrow batches of Spark tasks):
 1. End offsets: running sums of the token byte lengths, one sorted list per vocabulary.
 2. Galloping intersection: the shorter list drives. From where the last search stopped, the search doubles its
@@ -26,16 +31,22 @@ decimal ids in order; '' without tokens).
 
 Nulls and ties: null or empty texts, and texts that do not decode to themselves, have zeros and ''; null or
 repeated doc_ids are documents of their own (rows are keyed by a number written with the alignment); an empty
-table gives no rows. Extra columns are not read. Very long texts are encoded whole.
+table gives no rows. Extra columns are not read. A text is never cut between chunks.
 """
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from noticeboard.llm.tables import BROADCAST_ROWS, stored
@@ -45,6 +56,14 @@ B_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GALLOP = 1024        # values of the shorter list bracketed by one gallop
 SALTS = 32           # salts of the pair-count join beyond the broadcast bound
 CHUNK_BYTES = 1 << 20   # text encoded at once in a task
+KNOWN_UNITS = 300_000   # distinct units a task remembers before it begins anew
+KNOWN_LETTERS = 8 << 20     # and their characters
+ENCODED_UNITS = 1024    # units encoded at once
+
+MARK = "▁"
+SPACES = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+CUT = re.compile(f"(?<=[^{SPACES}{MARK}])(?= .)", re.S)     # where " " + text falls into units
+UNEVEN = f"^ |[{SPACES}{MARK}] | $"                          # texts with a space that does not begin a unit
 
 ALIGNED = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                      ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
@@ -68,6 +87,7 @@ class Vocabularies:
     """Both encoders with byte tables of their ids."""
 
     def __init__(self, a_vocab: str, b_model: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(a_vocab)
@@ -84,6 +104,117 @@ class Vocabularies:
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         self.names = [f"{i}{end}" for end in ",|;" for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.cuts = self._cuts_hold()
+        self._forget()
+
+    def _cuts_hold(self) -> bool:
+        """Whether no token can cross a cut: A matches words of the plain text by the byte-level pattern, which
+        takes a space only at a word's begin; B reads the text as it is, and no piece has a mark behind another
+        character."""
+        from sentencepiece import sentencepiece_model_pb2
+        a, b = json.loads(self.a.to_str()), sentencepiece_model_pb2.ModelProto.FromString(self.b.serialized_model_proto())
+        words, plain = a["pre_tokenizer"] or {}, b.normalizer_spec
+        return (a["normalizer"] is None and words.get("type") == "ByteLevel" and bool(words.get("use_regex"))
+                and not words.get("add_prefix_space") and all(t["special"] for t in a["added_tokens"])
+                and b.trainer_spec.model_type == b.trainer_spec.BPE
+                and plain.name == "identity" and not plain.precompiled_charsmap and plain.add_dummy_prefix
+                and not plain.remove_extra_whitespaces and not b.trainer_spec.treat_whitespace_as_suffix
+                and all(p.type != p.USER_DEFINED and MARK not in p.piece.lstrip(MARK) for p in b.pieces))
+
+    def _units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct units without their first space, code of each unit, starts per text) of texts with characters."""
+        if not self.cuts:
+            flat = texts.dictionary_encode()
+            return flat.dictionary.to_pylist(), np.asarray(flat.indices).astype(np.int64), np.arange(len(texts) + 1)
+        lists = pc.split_pattern(texts, " ")
+        uneven = np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False))
+        if len(uneven):
+            rows = lists.to_pylist()
+            for i in uneven:
+                rows[i] = [u[1:] for u in CUT.split(" " + texts[i].as_py())]
+            lists = pa.array(rows, pa.list_(pa.string()))
+        flat, starts = lists.flatten().dictionary_encode(), np.asarray(lists.offsets).astype(np.int64)
+        return flat.dictionary.to_pylist(), np.asarray(flat.indices).astype(np.int64), starts - starts[0]
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}         # unit -> place in the lists below
+        self.letters = 0
+        self.ids = array("i"), array("i")       # A and B ids of the units, one after another
+        self.sizes = array("q"), array("q")
+        self.same = array("b")                  # whether the joined bytes of both are the unit's
+
+    def _remember(self, units: list[str]) -> None:
+        """Encodes distinct units that have no place yet: those between whose neighbours cuts fall as one text."""
+        alone = [u for u in units if not self.cuts or MARK in u or u[-1] in SPACES]
+        if len(alone) < len(units):
+            apart = set(alone)
+            joined = [u for u in units if u not in apart]
+            if not self._encode_joined(joined):
+                alone = units
+        if alone:
+            self._encode_alone(alone)
+
+    def _encode_joined(self, units: list[str]) -> bool:
+        """Encodes units as one text; false, and nothing kept, unless its tokens end where the units end."""
+        text = " ".join(units)
+        plain = (" " + text).encode()
+        bounds = np.cumsum([len(u) for u in map(str.encode, units)]) + np.arange(1, len(units) + 1)
+        lists = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        sizes = []
+        for ids, tokens, lengths in zip(lists, (self.a_bytes, self.b_bytes), (self.a_len, self.b_len)):
+            ends = np.cumsum(lengths[ids])
+            last = np.searchsorted(ends, bounds)
+            if b"".join(map(tokens.__getitem__, ids)) != plain or (ends[last] != bounds).any():
+                return False
+            sizes.append(np.diff(last, prepend=-1).tolist())
+        self._keep(units, lists, sizes, [True] * len(units))
+        return True
+
+    def _encode_alone(self, units: list[str]) -> None:
+        """Encodes each unit as a text."""
+        plain = [(" " + u).encode() for u in units]
+        lists = ([e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)],
+                 self.b.encode(units, num_threads=1))
+        same = [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == z
+                for x, y, z in zip(*lists, plain)]
+        self._keep(units, [chain.from_iterable(x) for x in lists], [map(len, x) for x in lists], same)
+
+    def _keep(self, units: list[str], lists, sizes, same: list[bool]) -> None:
+        for k in (0, 1):
+            self.ids[k].extend(lists[k])
+            self.sizes[k].extend(sizes[k])
+        self.same.extend(same)
+        self.slots.update(zip(units, range(len(self.slots), len(self.slots) + len(units))))
+        self.letters += sum(map(len, units))
+
+    def _joined(self, k: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of vocabulary k of the units at these places, one after another; where each begins, and the end)."""
+        sizes = np.array(self.sizes[k], np.int64)
+        at, taken = (np.cumsum(sizes) - sizes)[places], sizes[places]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        return np.array(self.ids[k], np.int64)[np.arange(ends[-1]) + np.repeat(at - ends[:-1], taken)], ends
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(A ids of " " + text, B ids) of each text with characters; empty where the joined bytes of either
+        differ from " " + text."""
+        units, codes, starts = self._units(texts)
+        if len(self.slots) > KNOWN_UNITS or self.letters > KNOWN_LETTERS:
+            self._forget()
+        fresh = [u for u in units if u not in self.slots]
+        for start in range(0, len(fresh), ENCODED_UNITS):
+            self._remember(fresh[start:start + ENCODED_UNITS])
+        places = np.fromiter(map(self.slots.__getitem__, units), np.int64, len(units))[codes]
+        same = np.array(self.same, bool)[places]
+        (a, ends_a), (b, ends_b) = self._joined(0, places), self._joined(1, places)
+        none = np.zeros(0, np.int64)
+        for i, (lo, hi) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
+            of_a, of_b = a[ends_a[lo]:ends_a[hi]], b[ends_b[lo]:ends_b[hi]]
+            if not same[lo:hi].all():       # a unit differs: the text decides, as differences may join to nothing
+                text = (" " + texts[i].as_py()).encode()
+                if (b"".join(map(self.a_bytes.__getitem__, of_a.tolist())) != text
+                        or b"".join(map(self.b_bytes.__getitem__, of_b.tolist())) != text):
+                    of_a = of_b = none
+            yield of_a, of_b
 
 
 @lru_cache(maxsize=2)
@@ -160,16 +291,11 @@ def groups_text(a_ids, b_ids, ga, gb, names) -> str:
 
 def _chunk(v: Vocabularies, texts: list, batch: pa.RecordBatch) -> pa.RecordBatch:
     todo = [i for i, t in enumerate(texts) if t]
-    enc_a = v.a.encode_batch([" " + texts[i] for i in todo], add_special_tokens=False) if todo else []
-    enc_b = v.b.encode([texts[i] for i in todo]) if todo else []
+    ids = v.encoded(pa.array([texts[i] for i in todo], pa.string()))
     out = {k: [0] * len(texts) for k in ("n_a", "n_b", "n_groups", "n_links")}
     sha, links = [""] * len(texts), [[] for _ in texts]
-    for i, ea, eb in zip(todo, enc_a, enc_b):
-        a_ids, b_ids = np.array(ea.ids, np.int64), np.array(eb, np.int64)
-        whole = (" " + texts[i]).encode()
-        if (int(v.a_len[a_ids].sum()) != len(whole) or int(v.b_len[b_ids].sum()) != len(whole)
-                or b"".join(map(v.a_bytes.__getitem__, a_ids.tolist())) != whole
-                or b"".join(map(v.b_bytes.__getitem__, eb)) != whole):
+    for i, (a_ids, b_ids) in zip(todo, ids):
+        if not len(a_ids):
             continue
         ga, gb = align_ids(a_ids, b_ids, v.a_len, v.b_len)
         a, b, mult = links_of(a_ids, b_ids, ga, gb)

@@ -88,3 +88,39 @@ def test_groups_text_by_endings():
     names = [f"{i}{end}" for end in ",|;" for i in range(10)]
     a, b = np.array([1, 2, 3]), np.array([4, 5, 6, 7])
     assert groups_text(a, b, np.array([2, 1]), np.array([1, 3]), names) == "1,2|4;3|5,6,7"
+
+
+def test_units_are_encoded_once_and_join_to_the_whole():
+    """Texts are cut in front of spaces: ids as of whole texts, and a word met before is not encoded again."""
+    import random
+
+    import pyarrow as pa
+    v = op13.Vocabularies(op13.A_VOCAB, op13.B_MODEL)
+    asked, encode = [], v.b.encode
+    v.b.encode = lambda x, **more: (asked.append(x if isinstance(x, str) else "".join(x)), encode(x, **more))[1]
+    words = pa.array(["the cat sat on the mat " * 500 + str(i) for i in range(9)])
+    assert [len(b) for _, b in v.encoded(words)] == [len(encode(t)) for t in words.to_pylist()]
+    assert sum(map(len, asked)) < 100
+    rng = random.Random(1)
+    some = [" "] * 6 + ["\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "　", "​", "a", "the", "'s", "'", "12", ";\r", "▁", "▁",
+                        "é", "é", "日", "🙂", "<|endoftext|>", "</s>", "<0x41>", "\x00", "_", "-", "﻿", "́"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+
+    def whole(t):
+        a, b, raw = v.a.encode(" " + t, add_special_tokens=False).ids, encode(t), (" " + t).encode()
+        same = b"".join(v.a_bytes[i] for i in a) == raw == b"".join(v.b_bytes[i] for i in b)
+        return (a, b) if same else ([], [])
+    for cuts in (True, False):
+        v.cuts = cuts
+        v._forget()
+        assert [(a.tolist(), b.tolist()) for a, b in v.encoded(pa.array(texts))] == [whole(t) for t in texts]
+
+
+def test_units_are_forgotten(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(op13, "KNOWN_UNITS", 5)
+    v = op13.Vocabularies(op13.A_VOCAB, op13.B_MODEL)
+    texts = [f"text {i} of {i + 1} words" for i in range(6)]
+    got = [(a.tolist(), b.tolist()) for _ in (1, 2) for t in texts for a, b in v.encoded(pa.array([t]))]
+    assert got == [(v.a.encode(" " + t, add_special_tokens=False).ids, v.b.encode(t)) for t in texts] * 2
+    assert len(v.slots) <= 5 + 5
