@@ -54,11 +54,12 @@ from noticeboard.llm.tables import BROADCAST_ROWS, stored
 A_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 B_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GALLOP = 1024        # values of the shorter list bracketed by one gallop
+FEW_LINKS = 4        # links a token of a document, up to which they are listed before they are counted
 SALTS = 32           # salts of the pair-count join beyond the broadcast bound
 CHUNK_BYTES = 1 << 20   # text encoded at once in a task
-KNOWN_UNITS = 300_000   # distinct units a task remembers before it begins anew
+KNOWN_UNITS = 500_000   # distinct units a task remembers before it begins anew
 KNOWN_LETTERS = 8 << 20     # and their characters
-ENCODED_UNITS = 1024    # units encoded at once
+ENCODED_UNITS = 256    # units encoded at once
 
 MARK = "▁"
 SPACES = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
@@ -103,7 +104,7 @@ class Vocabularies:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.names = [f"{i}{end}" for end in ",|;" for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.names = Names([f"{i}{end}" for end in ",|;" for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
         self.cuts = self._cuts_hold()
         self._forget()
 
@@ -200,10 +201,14 @@ class Vocabularies:
         units, codes, starts = self._units(texts)
         if len(self.slots) > KNOWN_UNITS or self.letters > KNOWN_LETTERS:
             self._forget()
-        fresh = [u for u in units if u not in self.slots]
+        found = list(map(self.slots.get, units))
+        fresh = [i for i, place in enumerate(found) if place is None]
         for start in range(0, len(fresh), ENCODED_UNITS):
-            self._remember(fresh[start:start + ENCODED_UNITS])
-        places = np.fromiter(map(self.slots.__getitem__, units), np.int64, len(units))[codes]
+            part = fresh[start:start + ENCODED_UNITS]
+            self._remember([units[i] for i in part])
+            for i in part:
+                found[i] = self.slots[units[i]]
+        places = np.array(found, np.int64)[codes]
         same = np.array(self.same, bool)[places]
         (a, ends_a), (b, ends_b) = self._joined(0, places), self._joined(1, places)
         none = np.zeros(0, np.int64)
@@ -258,6 +263,12 @@ def align_ids(a_ids: np.ndarray, b_ids: np.ndarray, a_len: np.ndarray, b_len: np
 def links_of(a_ids: np.ndarray, b_ids: np.ndarray, ga: np.ndarray, gb: np.ndarray):
     """Distinct (A id, B id) pairs linked in one document with their numbers of links: (a, b, mult)."""
     groups = len(ga)
+    if int((ga * gb).sum()) <= FEW_LINKS * (len(a_ids) + len(b_ids)):      # few enough to be listed one by one
+        reps, first = np.repeat(gb, ga), np.repeat(np.cumsum(gb) - gb, ga)
+        at = np.arange(reps.sum()) + np.repeat(first - (np.cumsum(reps) - reps), reps)
+        pair = np.repeat(a_ids.astype(np.int64) << 32, reps) | b_ids.astype(np.int64)[at]
+        keys, mult = np.unique(pair, return_counts=True)
+        return (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), mult.astype(np.int64)
     ka = np.repeat(np.arange(groups, dtype=np.int64), ga) << 32 | a_ids.astype(np.int64)
     kb = np.repeat(np.arange(groups, dtype=np.int64), gb) << 32 | b_ids.astype(np.int64)
     ua, ca = np.unique(ka, return_counts=True)
@@ -276,17 +287,33 @@ def links_of(a_ids: np.ndarray, b_ids: np.ndarray, ga: np.ndarray, gb: np.ndarra
     return (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), mult
 
 
-def groups_text(a_ids, b_ids, ga, gb, names) -> str:
+class Names:
+    """Strings laid out one after another, to be joined by their numbers."""
+
+    def __init__(self, names: list[str]):
+        self.count = len(names)
+        self.flat = np.frombuffer("".join(names).encode("ascii"), np.uint8)
+        self.sizes = np.array([len(x) for x in names], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, order: np.ndarray) -> str:
+        sizes = self.sizes[order]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(sizes.sum()) + np.repeat(self.begins[order] - ends + sizes, sizes)].tobytes().decode()
+
+
+def groups_text(a_ids, b_ids, ga, gb, names: Names | list[str]) -> str:
     """'a1,a2|b1;a3|b2,b3' of the groups; names: every id's text followed by ',', then by '|', then by ';'."""
+    names = names if isinstance(names, Names) else Names(names)
     ends_a, ends_b = np.cumsum(ga), np.cumsum(gb)
-    size = len(names) // 3
+    size = names.count // 3
     order = np.empty(len(a_ids) + len(b_ids), np.int64)
     # A token stands behind the B tokens of the groups before its own, a B token behind the A tokens up to its own.
     order[np.arange(len(a_ids)) + np.repeat(ends_b - gb, ga)] = a_ids
     order[np.arange(len(b_ids)) + np.repeat(ends_a, gb)] = b_ids
     order[ends_a + ends_b - gb - 1] += size
     order[ends_a + ends_b - 1] += 2 * size
-    return "".join(map(names.__getitem__, order.tolist()))[:-1]
+    return names.joined(order)[:-1]
 
 
 def _chunk(v: Vocabularies, texts: list, batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -124,3 +124,16 @@ def test_units_are_forgotten(monkeypatch):
     got = [(a.tolist(), b.tolist()) for _ in (1, 2) for t in texts for a, b in v.encoded(pa.array([t]))]
     assert got == [(v.a.encode(" " + t, add_special_tokens=False).ids, v.b.encode(t)) for t in texts] * 2
     assert len(v.slots) <= 5 + 5
+
+
+def test_links_listed_or_counted_alike(monkeypatch):
+    rng = np.random.default_rng(5)
+    ga, gb = rng.integers(1, 4, 40), rng.integers(1, 4, 40)
+    a, b = rng.integers(0, 6, ga.sum()).astype(np.int64), rng.integers(0, 6, gb.sum()).astype(np.int64)
+    listed = op13.links_of(a, b, ga, gb)
+    monkeypatch.setattr(op13, "FEW_LINKS", 0)
+    assert all((x == y).all() for x, y in zip(listed, op13.links_of(a, b, ga, gb)))
+    want, at_a, at_b = Counter(), np.cumsum(ga) - ga, np.cumsum(gb) - gb
+    for p, m, q, n in zip(at_a, ga, at_b, gb):
+        want.update((int(x), int(y)) for x in a[p:p + m] for y in b[q:q + n])
+    assert {(int(x), int(y)): int(n) for x, y, n in zip(*listed)} == want
